@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from mirrorfold.contracts import Contract
 from mirrorfold.functions.payload import field, has_field
 from mirrorfold.operators.changes import change_order
-from mirrorfold.operators.ordered import value_before
+from mirrorfold.operators.ordered import values_before
 from mirrorfold.session import cut_lineage
 
 
@@ -98,11 +98,11 @@ def resolve_key_changes(split: DataFrame, current: DataFrame, contract: Contract
     walk = walk.unionByName(probes).withColumn("rank", F.when(F.col("action") == "probe", 0).otherwise(1))
     line = order + ["rank"]
     walk = walk.withColumn("_clear", F.when(F.col("action") == "D", F.struct(*order)))
-    walk = value_before(walk, ["row_id"], line, "_clear", "_cleared")
     for c in contract.values:
         walk = walk.withColumn(f"_w_{c}", F.when(F.col(f"has_{c}"), F.struct(
             F.struct(*order).alias("at"), F.col(c).alias("value"))))
-        walk = value_before(walk, ["row_id"], line, f"_w_{c}", f"_b_{c}")
+    walk = values_before(cut_lineage(walk), ["row_id"], line,
+                         {"_cleared": "_clear", **{f"_b_{c}": f"_w_{c}" for c in contract.values}})
     images = walk.filter(F.col("action") == "probe")
     for c in contract.values:
         fresh = F.col(f"_b_{c}").isNotNull() & (

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from mirrorfold.functions.payload import try_field
-from mirrorfold.operators.ordered import value_before
+from mirrorfold.operators.ordered import values_before
 
 OPERATION, ACCOUNT, THROUGH_TRANSACTION = "operation", "account", "through_transaction"
 KEY = ["kind", "key"]
@@ -33,7 +33,7 @@ def transaction_touches(transactions: DataFrame, log: DataFrame) -> DataFrame:
         try_field(F.col("payload"), "operation_id", T.StringType()))
     mine = (log.filter(F.col("table_name") == "transactions")
             .select(*order, "row_id", "commit_ts", named.alias("_named")))
-    seen = value_before(mine, ["row_id"], order, "_named", "_earlier")
+    seen = values_before(mine, ["row_id"], order, {"_earlier": "_named"})
     mirrored = transactions.select(F.col("id").alias("row_id"), F.col("operation_id").alias("_mirrored"))
     both = seen.join(mirrored, "row_id", "left")
     before = F.coalesce("_earlier", "_mirrored")

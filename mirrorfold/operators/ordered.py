@@ -1,55 +1,68 @@
 """Running values in log order, without one task holding a whole order.
 
 A plain unpartitioned window moves every row to one task, and a window per key
-does the same to a hot key. Here the order is first cut into ranges by a few
-sampled split points; sums and last values are computed inside each range in
-parallel, and a carry, one small row per range, links the ranges. The split
-points only balance the work: the result is exact whatever they are.
+does the same to a hot key. Above a small size the order is therefore cut into
+ranges by sampled split points; sums and last values are computed inside each
+range in parallel, and a carry, one small row per range, links the ranges. The
+split points only balance the work: the result is exact whatever they are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+# Up to this many rows a plain window in one task is the cheaper plan.
+SMALL = 50_000
 MAX_RANGES = 256
 SAMPLES_PER_RANGE = 32
 RANGE = "_range"
 
 
-def _range_count(df: DataFrame) -> int:
-    return max(8, min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def split_points(df: DataFrame, order: list[str], ranges: int | None = None) -> list[tuple]:
+    """Action. Ascending split points of ``order``; none for a small frame.
 
-
-def split_points(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
-    """One row with at most ``ranges`` ordered split points of ``order``.
-
-    Rows are sampled by the hash of their order key, about ``SAMPLES_PER_RANGE``
-    per range, so the collected set stays bounded however large ``df`` is.
+    As Spark's own range partitioner does, rows are sampled to the driver: by
+    the hash of their order key, about ``SAMPLES_PER_RANGE`` per range. So what
+    is collected is bounded by the number of ranges, not by the data.
     """
-    ranges = ranges or _range_count(df)
-    wanted = ranges * SAMPLES_PER_RANGE
-    rows = df.agg(F.count(F.lit(1)).alias("n")).select(F.greatest(F.lit(1), F.col("n") / wanted).cast("bigint"))
-    sample = (df.select(*order).withColumn("_step", rows.scalar())
-              .filter(F.pmod(F.xxhash64(*order), F.col("_step")) == 0)
-              .agg(F.sort_array(F.collect_set(F.struct(*order))).alias("sample")))
-    every = F.greatest(F.lit(1), F.ceil(F.size("sample") / F.lit(ranges))).cast("int")
-    return (sample.withColumn("_every", every)
-            .select(F.filter("sample", lambda _, i: F.pmod(i, F.col("_every")) == 0).alias("points")))
-
-
-def with_range(df: DataFrame, order: list[str], points: DataFrame) -> DataFrame:
+    if ranges is None:
+        rows = df.count()
+        if rows <= SMALL:
+            return []
+        ranges = max(8, min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    else:
+        rows = df.count()
+    step = max(1, rows // (ranges * SAMPLES_PER_RANGE))
+    picked = df.select(*order).filter(F.pmod(F.xxhash64(*order), F.lit(step)) == 0)
+    sample = picked.agg(F.sort_array(F.collect_set(F.struct(*order))).alias("keys"))
+    every = F.greatest(F.lit(1), F.ceil(F.size("keys") / F.lit(ranges))).cast("int")
+    points = sample.select(F.filter("keys", lambda _, i: F.pmod(i, every) == 0).alias("points")).first()["points"]
+    return [tuple(p) for p in points]
+
+
+def _literals(df: DataFrame, order: list[str], points: list[tuple]) -> Column:
+    kinds = [df.schema[c].dataType for c in order]
+    return F.array(*[F.struct(*[F.lit(v).cast(k).alias(c) for c, k, v in zip(order, kinds, p)]) for p in points])
+
+
+def with_range(df: DataFrame, order: list[str], points: list[tuple]) -> DataFrame:
     """Adds the number of the range a row falls in; ranges follow ``order``."""
-    return (df.withColumn("_points", points.scalar())
-            .withColumn(RANGE, F.size(F.filter("_points", lambda p: p <= F.struct(*order))))
-            .drop("_points"))
+    if not points:
+        return df.withColumn(RANGE, F.lit(0))
+    passed = F.filter(_literals(df, order, points), lambda p: p <= F.struct(*order))
+    return df.withColumn(RANGE, F.size(passed))
 
 
-def _cut_keys(ranged: DataFrame, keys: list[str], points: DataFrame) -> DataFrame:
-    """The rows whose key a split point falls into; only those cross ranges."""
+def _cut_keys(ranged: DataFrame, keys: list[str], points: list[tuple]) -> DataFrame:
+    """Rows of the keys a split point falls into; only those cross ranges."""
     if not keys:
         return ranged
-    same = lambda p: F.struct(*[p[k] for k in keys]) == F.struct(*keys)
-    return ranged.withColumn("_points", points.scalar()).filter(F.exists("_points", same)).drop("_points")
+    cut = list(dict.fromkeys(p[:len(keys)] for p in points))
+    return ranged.filter(F.array_contains(_literals(ranged, keys, cut), F.struct(*keys)))
+
+
+def _before(keys: list[str]):
+    return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _with_carry(ranged: DataFrame, keys: list[str], carry: DataFrame) -> DataFrame:
@@ -63,36 +76,42 @@ def running_sums(df: DataFrame, order: list[str], sums: dict[str, Column], keys:
     """Adds, per output name, the sum from the first row up to this one.
 
     ``keys`` restarts the sum per key. ``order`` must be unique within a key.
+    Samples split points first (an action); the rest is lazy.
     """
     keys = keys or []
     full = [*keys, *[c for c in order if c not in keys]]
     points = split_points(df, full, ranges)
     valued = df.select("*", *[c.cast("bigint").alias(f"_v_{name}") for name, c in sums.items()])
     ranged = with_range(valued, full, points)
-    totals = (_cut_keys(ranged, keys, points).groupBy(*keys, RANGE)
-              .agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums]))
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, RANGE, *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums])
     here = Window.partitionBy(RANGE, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.select("*", *[F.sum(f"_v_{n}").over(here).alias(f"_l_{n}") for n in sums])
-    out = _with_carry(local, keys, carry)
-    zero = F.lit(0).cast("bigint")
+    if not points:
+        return local.select(*df.columns, *[F.col(f"_l_{n}").alias(n) for n in sums])
+    totals = (_cut_keys(ranged, keys, points).groupBy(*keys, RANGE)
+              .agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums]))
+    carry = totals.select(*keys, RANGE, *[F.sum(f"_t_{n}").over(_before(keys)).alias(f"_c_{n}") for n in sums])
+    out, zero = _with_carry(local, keys, carry), F.lit(0).cast("bigint")
     return out.select(*df.columns, *[(F.col(f"_l_{n}") + F.coalesce(f"_c_{n}", zero)).alias(n) for n in sums])
 
 
-def value_before(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
-                 ranges: int | None = None) -> DataFrame:
-    """Adds the last non-null ``value`` of the same key strictly before this row."""
+def values_before(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
+                  ranges: int | None = None) -> DataFrame:
+    """Adds, per output name, the last non-null value of the named column in the
+    rows of the same key strictly before this one.
+
+    Samples split points first (an action); the rest is lazy.
+    """
     full = [*keys, *[c for c in order if c not in keys]]
     points = split_points(df, full, ranges)
     ranged = with_range(df, full, points)
-    last = (_cut_keys(ranged, keys, points).filter(F.col(value).isNotNull()).groupBy(*keys, RANGE)
-            .agg(F.max_by(value, F.struct(*order)).alias("_last")))
-    # A range of the key without a value must still hand the older one on.
-    spans = _cut_keys(ranged, keys, points).select(*keys, RANGE).distinct().join(last, [*keys, RANGE], "left")
-    before = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = spans.select(*keys, RANGE, F.last("_last", ignorenulls=True).over(before).alias("_carry"))
     here = Window.partitionBy(RANGE, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumn("_local", F.last(value, ignorenulls=True).over(here))
+    local = ranged.select("*", *[F.last(v, ignorenulls=True).over(here).alias(f"_l_{n}") for n, v in values.items()])
+    if not points:
+        return local.select(*df.columns, *[F.col(f"_l_{n}").alias(n) for n in values])
+    lasts = (_cut_keys(ranged, keys, points).groupBy(*keys, RANGE)
+             .agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(f"_t_{n}")
+                    for n, v in values.items()]))
+    carry = lasts.select(*keys, RANGE, *[F.last(f"_t_{n}", ignorenulls=True).over(_before(keys)).alias(f"_c_{n}")
+                                         for n in values])
     return (_with_carry(local, keys, carry)
-            .select(*df.columns, F.coalesce("_local", "_carry").alias(out)))
+            .select(*df.columns, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in values]))
