@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field as _field
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -145,11 +146,38 @@ def domain_violations(log: DataFrame) -> DataFrame:
             .groupBy("problem", "source", "table_name").agg(F.count(F.lit(1)).cast("bigint").alias("rows")))
 
 
-def require_delta(delta: DataFrame, contract: Contract) -> None:
-    """Action. Refuses a delta whose written rows break the contract's values."""
-    bad = value_violations(delta.filter(~F.col(DELETED)), contract).first()
+def require_values(frames: list[tuple[Contract, DataFrame]]) -> None:
+    """Action. Refuses rows that break their contract's values; all frames are
+    checked in one job."""
+    parts = [value_violations(df, c).withColumn("table", F.lit(c.name)) for c, df in frames]
+    if not parts:
+        return
+    bad = reduce(DataFrame.unionByName, parts).first()
     if bad is not None:
-        raise Refused("row_contract", f"{bad['rows']} rows of {contract.name} have {bad['column']} {bad['problem']}")
+        raise Refused("row_contract", f"{bad['rows']} rows of {bad['table']} have {bad['column']} {bad['problem']}")
+
+
+def require_keys(frames: list[tuple[Contract, DataFrame]]) -> None:
+    """Action. Refuses null and repeated keys, in one job."""
+    bad = reduce(DataFrame.unionByName, [
+        check_keys(df, c.key).select(F.lit(c.name).alias("table"), "problem") for c, df in frames]).first()
+    if bad is not None:
+        raise Refused("key_contract", f"{bad['table']} has a {bad['problem']}")
+
+
+def require_deltas(deltas: dict[str, DataFrame]) -> None:
+    """Action. The value check of rows about to be written."""
+    require_values([(BY_NAME[name], delta.filter(~F.col(DELETED))) for name, delta in deltas.items()])
+
+
+def require_payloads(rows: DataFrame, names: list[str]) -> None:
+    """Action. Refuses changes that do not fit their table's contract."""
+    parts = [payload_violations(rows, BY_NAME[name]).select("table_name", "problems") for name in names]
+    if not parts:
+        return
+    bad = reduce(DataFrame.unionByName, parts).first()
+    if bad is not None:
+        raise Refused("schema_drift", f"{bad['table_name']}: {', '.join(bad['problems'])}")
 
 
 @dataclass(frozen=True)

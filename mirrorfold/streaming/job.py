@@ -25,7 +25,7 @@ from mirrorfold.plans.apply import State, apply_batch, guard_log
 from mirrorfold.plans.lifecycle import checkpoints_frame, require_binding, utc_now
 from mirrorfold.settings import Limits
 from mirrorfold.sources.changelog import read_change_log
-from mirrorfold.sources.store import Store
+from mirrorfold.sources.store import FRAMES, Store
 
 
 def guard_start(store: Store, descriptors: dict[str, SourceDescriptor], limits: Limits) -> dict:
@@ -104,9 +104,9 @@ def _apply(store: Store, manifest: dict, published: dict, ready: DataFrame, chec
     state = State({c.name: store.table(c.name, manifest) for c in MIRRORED}, store.report(manifest),
                   store.ledger(published["ledger"]), checkpoints)
     applied = apply_batch(state, ready, limits, keep=keep)
-    for c in (*MIRRORED, REPORT):
-        if c.name in paths and (c is REPORT or c.name in applied.deltas):
-            tables[c.name] = store.with_delta(tables[c.name], c, paths[c.name], store.rows_in(paths[c.name]))
+    changed = {name: paths[name] for name in (*applied.deltas, REPORT.name)}
+    for name, rows in store.rows_of(changed).items():
+        tables[name] = store.with_delta(tables[name], FRAMES[name], paths[name], rows)
     published["ledger"] = store.with_touches(published["ledger"], paths["touches"])
 
 

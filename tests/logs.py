@@ -21,7 +21,8 @@ def at(pos):
 
 
 def row(pos, seq, table, action, row_id, old=None, **values):
-    payload = json.dumps({"id": row_id, **values}) if action != "D" else json.dumps({"id": row_id})
+    payload = json.dumps({"id": row_id, **values} if action != "D" else {"id": row_id})
+    payload = payload.replace('"@', "").replace('@"', "")  # "@1.20@" stands for the bare number
     return (BY_NAME[table].source, table, pos, at(pos), seq, "row", action, row_id, old, payload, len(payload) + 128)
 
 
