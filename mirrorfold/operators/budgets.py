@@ -33,17 +33,16 @@ def first_rows(df: DataFrame, order: list[str], rows: int) -> DataFrame:
 
 
 def window_usage(staged: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:
-    """One row: rows, bytes and whether a window budget is exceeded."""
+    """One row: rows, bytes and whether a window budget is exceeded.
+
+    Partial counts meet in one small row. A limit of the budget plus one row
+    would see the overflow too, but sends that many rows through one task.
+    """
     used = staged.agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
                       F.coalesce(F.sum("byte_count"), F.lit(0)).cast("bigint").alias("bytes"))
     return used.withColumn("exceeded", (F.col("rows") > max_rows) | (F.col("bytes") > max_bytes))
 
 
-def overflow_probe(rows: DataFrame, budget: int) -> DataFrame:
-    """At most one row more than the budget, enough to see that it overflows."""
-    return rows.limit(budget + 1)
-
-
 def oversized_rows(staged: DataFrame, max_bytes: int) -> DataFrame:
     return staged.filter(F.col("byte_count") > max_bytes)
 

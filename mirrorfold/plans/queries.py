@@ -11,17 +11,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from mirrorfold.contracts import (
-    ACCOUNTS, LEDGER, MIRRORED, OPERATIONS, RELATIONS, TRANSACTIONS, Contract)
+    ACCOUNTS, ENVELOPE, LEDGER, MIRRORED, OPERATIONS, RELATIONS, TRANSACTIONS, Contract)
 from mirrorfold.functions.payload import has_field, try_field
 from mirrorfold.functions.positions import format_position, millis_between, parse_position
 from mirrorfold.functions.text import default_if_blank, is_blank, stable_id, trimmed, utf8_bytes, utf16_bytes
 from mirrorfold.operators import affected, budgets, changes, checks, compare, fold, ingest, latency, ledger, merge
 from mirrorfold.operators import progress, projection, readmodels
 from mirrorfold.operators.ordered import running_sums, values_before
+from mirrorfold.plans import lifecycle, window
 from mirrorfold.plans.apply import State, apply_batch
-from mirrorfold.plans.bindings import LOG, Bindings, sql
+from mirrorfold.plans.bindings import Bindings, sql
 from mirrorfold.plans.lifecycle import CHECKPOINTS
-from mirrorfold.session import cut_lineage
+from mirrorfold.plans.views import temporary_views
+from mirrorfold.session import cut_lineage, scratch
+from mirrorfold.settings import UNBOUNDED, Binding
+from mirrorfold.sources import changelog
+from mirrorfold.sources.snapshot import as_changes
+from mirrorfold.sources.store import Store
+from mirrorfold.streaming.job import start_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,7 +104,6 @@ def _tables(b: Bindings) -> dict[str, DataFrame]:
         ("collection_orders", "collection_orders"), ("payment_means", "payment_means"))),
     "accounts", "account_history", "assets", "contacts", "operations", "collection_orders", "payment_means"))
 def source_snapshot(b):
-    from mirrorfold.sources.snapshot import as_changes
     union = None
     for name, df in _tables(b).items():
         part = as_changes(df, name).select("table_name", "row_id", "action")
@@ -359,7 +365,8 @@ def _state(b: Bindings) -> State:
 
 
 def _applied(b: Bindings):
-    log = b.mixed_log().withColumn("commit_ts", F.col("commit_ts").cast("timestamp"))
+    # As the streaming job does, the log is staged once and read by every step.
+    log = cut_lineage(b.mixed_log().withColumn("commit_ts", F.col("commit_ts").cast("timestamp")))
     return apply_batch(_state(b), log, keep=lambda _, df: cut_lineage(df))
 
 
@@ -705,7 +712,6 @@ def notifications_account_details(b):
     union all select 'notifications', 'accounts', id from accounts
     union all select 'notifications', 'contact_information', id from contacts""", "accounts", "assets", "contacts"))
 def consumer_views(b):
-    from mirrorfold.plans.views import temporary_views
     tables = {"accounts": b.accounts(), "assets": b.assets(), "contact_information": b.contacts()}
     union = None
     for name in temporary_views(tables):
@@ -1008,3 +1014,80 @@ def blank_rules(b):
     select o_orderkey, sha256(concat('operation', chr(31), o_orderkey)) as h from orders)""")
 def stable_ids(b):
     return b.raw("orders").select("o_orderkey", stable_id(F.lit("operation"), F.col("o_orderkey").cast("string")).alias("id"))
+
+
+# publishing, streaming and bounded windows, end to end
+
+def _whole_sources(b: Bindings) -> dict[str, DataFrame]:
+    """All mirrored tables in their contract's types."""
+    made = {"accounts": b.accounts(), "assets": b.assets(), "contact_information": b.contacts(),
+            "account_history": b.account_history(), "payment_means": b.payment_means(), "operations": b.operations(),
+            "transactions": b.keyed_transactions(), "collection_orders": b.collection_orders()}
+    return {c.name: made[c.name].select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in c.schema.fields])
+            for c in MIRRORED}
+
+
+def _descriptors(position: int) -> dict[str, checks.SourceDescriptor]:
+    return {s: checks.SourceDescriptor(s, f"db_{s}", "system", "e1", -1, position,
+                                       {c.name: c.name for c in MIRRORED if c.source == s})
+            for s in ("accounts", "financials")}
+
+
+def _store(b: Bindings, label: str) -> Store:
+    store = Store(b.spark, scratch(b.spark, label))
+    lifecycle.bootstrap(store, Binding("db_accounts", "db_financials", "db_target"))
+    return store
+
+
+def _wall(report: DataFrame) -> DataFrame:
+    report = _report(report)
+    return report.withColumn("source_account_created_at", F.col("source_account_created_at").cast("timestamp_ntz"))
+
+
+@query(sql(report_sql(transactions="keyed_transactions"), "accounts", "operations", "keyed_transactions"))
+def published_report(b):
+    store = _store(b, "published")
+    lifecycle.load_snapshot(store, _whole_sources(b), _descriptors(0))
+    return _wall(store.report())
+
+
+@query(sql(report_sql("post_operations", "post_accounts", "post_transactions"), *POST))
+def streamed_report(b):
+    """Snapshot, then the mixed log as JSON lines through the streaming job."""
+    store, folder = _store(b, "streamed"), scratch(b.spark, "log")
+    lifecycle.load_snapshot(store, _whole_sources(b), _descriptors(-1))
+    log = b.mixed_log().withColumn("commit_ts", F.col("commit_ts").cast("timestamp"))
+    keys = log.groupBy("source", "commit_pos").agg(F.max("commit_ts").alias("commit_ts"))
+    given = {"source", "commit_pos", "commit_ts"}
+    marks = keys.select(*[F.col(f.name) if f.name in given else F.lit("commit").alias("kind") if f.name == "kind" else
+                          F.lit(None).cast(f.dataType).alias(f.name) for f in ENVELOPE.fields])
+    changelog.write_change_log(log.select(*ENVELOPE.fieldNames()).unionByName(marks), folder)
+    start_stream(b.spark, store, folder, scratch(b.spark, "checkpoint"), UNBOUNDED).awaitTermination()
+    return _wall(store.report())
+
+
+@query(sql(report_sql("post_operations", "accounts", "keyed_transactions"), "accounts", "post_operations",
+           "keyed_transactions"))
+def windowed_report(b):
+    """A first window of whole tables, then a window of what changed since."""
+    store = _store(b, "windowed")
+    sources = _whole_sources(b)
+    window.drain(store, sources, _descriptors(0), UNBOUNDED)
+    sources["operations"] = merge.merge_full(b.operations(), _whole_rows(b), OPERATIONS)
+    window.drain(store, sources, _descriptors(1), UNBOUNDED)
+    return _wall(store.report())
+
+
+@query(sql("""select 'accounts' as table_name, count(*) as rows from accounts
+    union all select 'operations', count(*) from operations
+    union all select 'transactions', count(*) from keyed_transactions
+    union all select 'account_history', count(*) from account_history
+    union all select 'account_operations', count(*) from operations""",
+           "accounts", "operations", "keyed_transactions", "account_history"))
+def table_cardinalities(b):
+    """Counts as the store's observation gives them, without a scan."""
+    store = _store(b, "observed")
+    lifecycle.load_snapshot(store, _whole_sources(b), _descriptors(0))
+    names = ("accounts", "operations", "transactions", "account_history", "account_operations")
+    each = F.array(*[F.struct(F.lit(n).alias("table_name"), F.col(n).alias("rows")) for n in names])
+    return lifecycle.observe(store).select(F.explode(each).alias("r")).select("r.*")
