@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SMALL = 50_000
 MAX_RANGES = 256
 SAMPLES_PER_RANGE = 32
+TREE = 32
 RANGE = "_range"
 
 
@@ -40,17 +41,45 @@ def split_points(df: DataFrame, order: list[str], ranges: int | None = None) ->
     return [tuple(p) for p in points]
 
 
-def _literals(df: DataFrame, order: list[str], points: list[tuple]) -> Column:
-    kinds = [df.schema[c].dataType for c in order]
-    return F.array(*[F.struct(*[F.lit(v).cast(k).alias(c) for c, k, v in zip(order, kinds, p)]) for p in points])
+def _typed(df: DataFrame, order: list[str], point: tuple) -> list[Column]:
+    return [F.lit(v).cast(df.schema[c].dataType) for c, v in zip(order, point)]
+
+
+def before_point(df: DataFrame, order: list[str], point: tuple, inclusive: bool = False) -> Column:
+    """Whether a row comes before a point (or is at it), compared column by column."""
+    values = _typed(df, order, point)
+    out = F.col(order[-1]) <= values[-1] if inclusive else F.col(order[-1]) < values[-1]
+    for column, value in reversed(list(zip(order[:-1], values[:-1]))):
+        out = (F.col(column) < value) | ((F.col(column) == value) & out)
+    return out
+
+
+def _search(df: DataFrame, order: list[str], points: list[tuple], first: int, last: int) -> Column:
+    """Points passed, as a balanced tree of comparisons (compiled, log2 deep)."""
+    if first == last:
+        return F.lit(first)
+    middle = (first + last) // 2
+    return F.when(before_point(df, order, points[middle]), _search(df, order, points, first, middle)).otherwise(
+        _search(df, order, points, middle + 1, last))
 
 
 def with_range(df: DataFrame, order: list[str], points: list[tuple]) -> DataFrame:
-    """Adds the number of the range a row falls in; ranges follow ``order``."""
-    if not points:
-        return df.withColumn(RANGE, F.lit(0))
-    passed = F.filter(_literals(df, order, points), lambda p: p <= F.struct(*order))
-    return df.withColumn(RANGE, F.size(passed))
+    """Adds the number of the range a row falls in; ranges follow ``order``.
+
+    A tree of comparisons finds a coarse range; with many points a binary search
+    in their literal array finishes, so that the compiled code stays small.
+    """
+    if len(points) <= TREE:
+        return df.withColumn(RANGE, _search(df, order, points, 0, len(points)))
+    width = -(-len(points) // TREE)
+    coarse = points[width - 1::width]
+    padded = F.array(*[F.struct(*[v.alias(c) for c, v in zip(order, _typed(df, order, p))]) for p in points])
+    start = F.col("_coarse") * F.lit(width)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((width - 1).bit_length()))])
+    passed = lambda n: (n <= len(points)) & (F.get(padded, n - 1) <= F.struct(*order))
+    found = F.aggregate(steps, start, lambda low, step: F.when(passed(low + step), low + step).otherwise(low))
+    return (df.withColumn("_coarse", _search(df, order, coarse, 0, len(coarse)))
+            .withColumn(RANGE, found).drop("_coarse"))
 
 
 def _cut_keys(ranged: DataFrame, keys: list[str], points: list[tuple]) -> DataFrame:
@@ -58,7 +87,10 @@ def _cut_keys(ranged: DataFrame, keys: list[str], points: list[tuple]) -> DataFr
     if not keys:
         return ranged
     cut = list(dict.fromkeys(p[:len(keys)] for p in points))
-    return ranged.filter(F.array_contains(_literals(ranged, keys, cut), F.struct(*keys)))
+    if len(keys) == 1:
+        return ranged.filter(F.col(keys[0]).isin(*[p[0] for p in cut]))
+    literals = F.array(*[F.struct(*[v.alias(k) for k, v in zip(keys, _typed(ranged, keys, p))]) for p in cut])
+    return ranged.filter(F.array_contains(literals, F.struct(*keys)))
 
 
 def _before(keys: list[str]):
