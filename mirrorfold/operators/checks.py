@@ -57,21 +57,19 @@ def require_contract(df: DataFrame, contract: Contract) -> DataFrame:
 def value_violations(df: DataFrame, contract: Contract) -> DataFrame:
     """``(column, problem, rows)``: nulls in required columns and texts that are
     too long, counted in one pass. Lengths are in UTF-16 units."""
-    counted = []
+    tests = []
     for f in contract.schema.fields:
         if f.name not in df.columns:
             continue
         if not f.nullable:
-            counted.append((f.name, "null", F.col(f.name).isNull()))
+            tests.append((f.name, "null", f"`{f.name}` is null"))
         longest = contract.max_length(f.name)
         if longest:
-            counted.append((f.name, "too_long", utf16_length(F.col(f.name)) > longest))
-    sums = df.agg(*[F.coalesce(F.sum(F.when(test, 1).otherwise(0)), F.lit(0)).cast("bigint").alias(f"_{i}")
-                    for i, (_, _, test) in enumerate(counted)])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(p).alias("problem"), F.col(f"_{i}").alias("rows"))
-                     for i, (c, p, _) in enumerate(counted)])
-    return (sums.select(F.explode(rows).alias("r")).select("r.column", "r.problem", "r.rows")
-            .filter(F.col("rows") > 0))
+            tests.append((f.name, "too_long", f"octet_length(encode(`{f.name}`, 'UTF-16LE')) > {2 * longest}"))
+    sums = df.agg(F.expr("array(" + ", ".join(
+        f"struct('{column}' as column, '{problem}' as problem, count_if({test}) as rows)"
+        for column, problem, test in tests) + ")").alias("counted"))
+    return sums.selectExpr("inline(counted)").filter("rows > 0")
 
 
 def check_keys(df: DataFrame, key: str = "id") -> DataFrame:

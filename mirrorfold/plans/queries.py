@@ -177,10 +177,10 @@ def snapshot_diff(b):
     return compare.snapshot_diff(b.accounts(), later, "id", ["id", "name", "status"])
 
 
-def _post_accounts(b: Bindings) -> DataFrame:
+def _post_accounts(b: Bindings, log: DataFrame | None = None) -> DataFrame:
     """The accounts after the account log, through the column merge."""
     contract = _ntz(ACCOUNTS)
-    return merge.merge_columns(b.accounts(), fold.fold_columns(b.account_log(), contract), contract)
+    return merge.merge_columns(b.accounts(), fold.fold_columns(log or b.account_log(), contract), contract)
 
 
 def _ntz(contract: Contract) -> Contract:
@@ -238,9 +238,9 @@ def tombstones(b):
 
 # merges
 
-def _whole_rows(b: Bindings) -> DataFrame:
+def _whole_rows(b: Bindings, log: DataFrame | None = None) -> DataFrame:
     """Net changes of operations that carry whole rows."""
-    net = fold.fold_rows(b.operation_log())
+    net = fold.fold_rows(log or b.operation_log())
     value = lambda c: try_field(F.col("payload"), c, OPERATIONS.type_of(c)).alias(c)
     return net.select("action", F.col("row_id").alias("id"), *[value(c) for c in OPERATIONS.values])
 
@@ -287,9 +287,9 @@ def affected_new_parents(b):
     return affected.new_parents(b.line_log())
 
 
-def _affected(b: Bindings) -> DataFrame:
+def _affected(b: Bindings, log: DataFrame | None = None) -> DataFrame:
     pre = {"operations": b.operations(), "transactions": b.keyed_transactions()}
-    return affected.affected_operations(pre, b.mixed_log())
+    return affected.affected_operations(pre, log or b.mixed_log())
 
 
 AFFECTED_SQL = """select o.id as operation_id from operations o join account_log l on l.row_id = o.account_id
@@ -319,11 +319,12 @@ def stage_after_consume(b):
 
 # ledger and incremental refresh
 
-def _post_tables(b: Bindings) -> dict[str, DataFrame]:
+def _post_tables(b: Bindings, log: DataFrame) -> dict[str, DataFrame]:
     transactions = _ntz(TRANSACTIONS)
-    net = fold.fold_columns(b.parent_log(), transactions)
-    return {"accounts": _post_accounts(b),
-            "operations": merge.merge_full(b.operations(), _whole_rows(b), OPERATIONS),
+    net = fold.fold_columns(log, transactions)
+    return {"accounts": _post_accounts(b, log),
+            "operations": merge.merge_full(b.operations(), _whole_rows(b, log.filter("table_name = 'operations'")),
+                                           OPERATIONS),
             "transactions": merge.merge_columns(b.keyed_transactions(), net, transactions)}
 
 
@@ -339,7 +340,9 @@ POST = ("post_accounts", "post_operations", "post_transactions")
 def incremental_report(b):
     pre = {"operations": b.operations(), "accounts": b.accounts(), "transactions": b.keyed_transactions()}
     report = projection.rebuild_projection(pre)
-    return _report(projection.refresh_projection(report, _affected(b), _post_tables(b)))
+    log = cut_lineage(b.mixed_log())
+    touched = cut_lineage(_affected(b, log))
+    return _report(projection.refresh_projection(report, touched, _post_tables(b, log)))
 
 
 @query(sql(f"""select r.operation_id, greatest(a.last_commit_ts, x.last_commit_ts) as last_source_commit_at
@@ -348,8 +351,9 @@ def incremental_report(b):
     left join (select key, max(last_commit_ts) as last_commit_ts from ledger where kind <> 'account' group by key) x
     on x.key = r.operation_id""", *POST, "ledger"))
 def report_commit_stamps(b):
-    touched = ledger.new_touches({"transactions": b.keyed_transactions()}, b.mixed_log())
-    return projection.rebuild_projection(_post_tables(b), touched).select("operation_id", "last_source_commit_at")
+    log = cut_lineage(b.mixed_log())
+    touched = cut_lineage(ledger.new_touches({"transactions": b.keyed_transactions()}, log))
+    return projection.rebuild_projection(_post_tables(b, log), touched).select("operation_id", "last_source_commit_at")
 
 
 def _state(b: Bindings) -> State:

@@ -15,6 +15,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Call sites of every column expression cost more than building the plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
