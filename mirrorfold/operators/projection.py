@@ -26,19 +26,22 @@ def project(operations: DataFrame, accounts: DataFrame, transactions: DataFrame,
     by_operation = transaction_totals(transactions)
     touched_account = touched_operation = F.lit(None).cast("timestamp")
     if ledger is not None:
-        # Both sides of each full join are unique per key and already needed
-        # under the same key, so the ledger adds no shuffle of the operations.
-        account = (ledger.filter(F.col("kind") == ACCOUNT)
-                   .select(F.col("key").alias("account_id"), F.col("last_commit_ts").alias("_account_ts")))
+        # Both sides are unique per operation and already needed under that key.
         operation = (ledger.filter(F.col("kind").isin(OPERATION, THROUGH_TRANSACTION))
                      .groupBy(F.col("key").alias("operation_id"))
                      .agg(F.max("last_commit_ts").alias("_operation_ts")))
-        by_account = by_account.join(account, "account_id", "full")
         by_operation = by_operation.join(operation, "operation_id", "full")
-        touched_account, touched_operation = F.col("_account_ts"), F.col("_operation_ts")
+        touched_operation = F.col("_operation_ts")
+    # One account may own a third of the operations. Both sides of this join are
+    # plain shuffles, the form in which adaptive execution can split a hot key.
     joined = (operations.withColumnRenamed("id", "operation_id")
               .join(by_operation, "operation_id", "left")
               .join(by_account, "account_id", "left"))
+    if ledger is not None:
+        account = (ledger.filter(F.col("kind") == ACCOUNT)
+                   .select(F.col("key").alias("account_id"), F.col("last_commit_ts").alias("_account_ts")))
+        joined = joined.join(account, "account_id", "left")
+        touched_account = F.col("_account_ts")
     return joined.select(
         "operation_id", "account_id", "account_name", "account_status",
         F.col("_known").isNull().alias("account_missing"), "description", "amount",

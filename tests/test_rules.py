@@ -144,7 +144,7 @@ def test_synthetic_blocks_and_snapshot_scan(spark, tmp_path):
     assert "EqualTo(id,x)" in plan and "ReadSchema: struct<id:string,amount:decimal(18,2)>" in plan
 
 
-def test_skewed_join_is_split_and_report_has_no_python(spark):
+def test_skewed_join_is_split_and_report_has_no_python(spark, tmp_path):
     operations = spark.range(0, 20000, 1, 8).select(
         F.col("id").cast("string").alias("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(
             F.concat(F.lit("a"), F.col("id").cast("string"))).alias("account_id"),
@@ -152,6 +152,10 @@ def test_skewed_join_is_split_and_report_has_no_python(spark):
     accounts = operations.select("account_id").distinct().select(
         F.col("account_id").alias("id"), F.lit("n").alias("name"), F.lit("s").alias("status"),
         F.lit(at(1)).alias("created_at"))
+    accounts.write.parquet(str(tmp_path / "accounts"))
+    accounts = spark.read.parquet(str(tmp_path / "accounts"))
+    ledger = accounts.select(F.lit("account").alias("kind"), F.col("id").alias("key"),
+                             F.col("created_at").alias("last_commit_ts"))
     none = spark.createDataFrame([], contract("transactions").schema)
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "20",
                 "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
@@ -162,10 +166,12 @@ def test_skewed_join_is_split_and_report_has_no_python(spark):
     try:
         for key, value in settings.items():
             spark.conf.set(key, value)
-        report = projection.project(operations, accounts, none)
-        assert len(report.collect()) == 20000
-        plan = report._jdf.queryExecution().executedPlan().toString()
-        assert "skew=true" in plan and "Python" not in plan and "CartesianProduct" not in plan
+        for known, splits in ((None, 1), (ledger, 2)):
+            report = projection.project(operations, accounts, none, known)
+            assert len(report.collect()) == 20000
+            plan = report._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            assert plan.count("skew=true") == splits, plan
+            assert "Python" not in plan and "CartesianProduct" not in plan
     finally:
         for key, value in before.items():
             spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
