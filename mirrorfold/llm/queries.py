@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mirrorfold.llm import boosted_trees, bpe, quality_rules, sharding, simhash
+from mirrorfold.llm import (
+    boosted_trees, bpe, chat, decontamination, fuzzy_passages, quality_rules, secret_scan, sharding, simhash, warc)
 from mirrorfold.llm.common import table
+from mirrorfold.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,3 +49,58 @@ def op5_simhash_groups(spark, folder):
 @query
 def op6_bpe_round_trip(spark, folder):
     return bpe.round_trip_digests(table(spark, folder, "documents"), tokenizer_path())
+
+
+@query
+def op4_benchmark_leaks(spark, folder):
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op7_repeated_passages(spark, folder):
+    return fuzzy_passages.repeated_passages(table(spark, folder, "documents"))
+
+
+@query
+def op8_warc_salvage(spark, folder):
+    return warc.archive_pages(table(spark, folder, "pages"), f"{scratch(spark, 'warc')}/archives")
+
+
+ORACLE["op8_warc_salvage"] = """
+with paged as (
+    select page_id, coalesce(html, '') as html, max(page_id) over (partition by coalesce(html, '')) as response_id from pages),
+hashed as (select page_id, response_id, strlen(html) as n, sha1(html) as h from paged)
+select page_id, cast(n as bigint) as payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(
+        (cast('0x' || substr(h, cast(5 * (i // 4) + 1 as bigint), 5) as bigint) >> cast(15 - 5 * (i % 4) as bigint)) & 31
+        as bigint), 1)), '') as payload_digest,
+    case when page_id = response_id then 'response' else 'revisit' end as record_type,
+    case when page_id <> response_id then response_id end as refers_to
+from hashed"""
+
+
+@query
+def op9_secret_scan(spark, folder):
+    return secret_scan.find_secrets(table(spark, folder, "documents"))
+
+
+@query
+def op10_chat_format(spark, folder):
+    return chat.digests(chat.format_conversations(table(spark, folder, "conversations")))
+
+
+# The control strings of the template, with the backslashes that one more is put behind.
+ORACLE["op10_chat_format"] = r"""
+with rows_ as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked as (
+    select *, length(regexp_replace(role, '([<\[])(\\*)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)', '\1\\\2\3', 'g'))
+        + length(regexp_replace(text, '([<\[])(\\*)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)', '\1\\\2\3', 'g'))
+        + length('<|im_start|><|im_sep|><|im_end|>') as n from rows_)
+select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+    cast(sum(n) as bigint) as formatted_chars
+from marked group by conv_id"""
