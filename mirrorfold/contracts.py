@@ -106,14 +106,17 @@ REPORT = _table("account_operations", "report",
 LEDGER = T.StructType([_field("kind", T.StringType()), _field("key", T.StringType()),
                        _field("last_commit_ts", T.TimestampType())])
 
-#: One row of the change log. ``kind`` is row, commit, truncate or heartbeat.
+#: One row of the change log. ``kind`` is row, commit, truncate or heartbeat. A commit or
+#: heartbeat has the number of rows of its transaction and the position of the commit or
+#: heartbeat before it, which prove that nothing is missing.
 ENVELOPE = T.StructType([
     _field("source", T.StringType(), True), _field("table_name", T.StringType(), True),
     _field("commit_pos", T.LongType(), True), _field("commit_ts", T.TimestampType(), True),
     _field("seq", T.IntegerType(), True), _field("kind", T.StringType(), True),
     _field("action", T.StringType(), True), _field("row_id", T.StringType(), True),
     _field("old_row_id", T.StringType(), True), _field("payload", T.VariantType(), True),
-    _field("byte_count", T.LongType(), True),
+    _field("byte_count", T.LongType(), True), _field("txn_rows", T.LongType(), True),
+    _field("prev_pos", T.LongType(), True),
 ])
 
 # Declared relations (child table, column, parent table).

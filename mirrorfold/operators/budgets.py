@@ -2,59 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from mirrorfold.errors import Refused
 from mirrorfold.functions.payload import try_field
 from mirrorfold.functions.text import utf8_bytes, utf16_bytes
 from mirrorfold.operators.changes import ENVELOPE_BYTES, TXN
-from mirrorfold.operators.ordered import RANGE, before_point, running_sums, split_points, with_range
+from mirrorfold.operators.ordered import running_sums
 from mirrorfold.settings import Limits
 
 # Fixed value: bytes estimated for a report row besides its description.
 REPORT_ROW_BYTES = 1216
 
 
-def running_usage(df: DataFrame, order: list[str], size: str) -> DataFrame:
-    """Adds ``run_rows`` and ``run_bytes`` up to each row in ``order``."""
-    return running_sums(df, order, {"run_rows": F.lit(1), "run_bytes": F.col(size)})
-
-
 def prefix_within(df: DataFrame, order: list[str], size: str, max_rows: int, max_bytes: int) -> DataFrame:
-    """The longest prefix in ``order`` within both budgets. ``order`` is unique.
+    """The longest prefix in ``order`` within both budgets. ``order`` is unique
+    and sizes are not negative, so the running sums only grow.
 
-    Action: looks for the last key that fits, then filters by it. Totals per
-    range (a few rows) tell in which range a budget runs out; that range alone
-    is split further, until it is small enough for one window.
+    Action: stages the frame (:func:`running_sums`).
     """
-    narrow, rows, used, low = df.select(*order, size), 0, 0, None
-    part = narrow
-    while points := split_points(part, order):
-        totals = {r[RANGE]: r for r in with_range(part, order, points).groupBy(RANGE).agg(
-            F.count(F.lit(1)).alias("rows"), F.sum(size).cast("bigint").alias("bytes")).collect()}
-        crossing = None
-        for number in sorted(totals):
-            if rows + totals[number]["rows"] > max_rows or used + totals[number]["bytes"] > max_bytes:
-                crossing = number
-                break
-            rows, used = rows + totals[number]["rows"], used + totals[number]["bytes"]
-        if crossing is None:
-            return df if low is None and part is narrow else df.filter(before_point(df, order, high))
-        alone = totals[crossing]["rows"] == sum(t["rows"] for t in totals.values())
-        low = points[crossing - 1] if crossing else low
-        high = points[crossing] if crossing < len(points) else (None if part is narrow else high)
-        part = narrow if low is None else narrow.filter(~before_point(narrow, order, low))
-        part = part if high is None else part.filter(before_point(part, order, high))
-        if alone:
-            break
-    here = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = part.select(F.struct(*order).alias("at"), F.count(F.lit(1)).over(here).alias("r"),
-                      F.sum(size).over(here).alias("b"))
-    last = run.filter((F.col("r") <= F.lit(max_rows - rows)) & (F.col("b") <= F.lit(max_bytes - used))).agg(
-        F.max("at").alias("at")).first()["at"]
-    if last is not None:
-        return df.filter(before_point(df, order, tuple(last), inclusive=True))
-    return df.filter(F.lit(False)) if low is None else df.filter(before_point(df, order, low))
+    run = running_sums(df, order, {"_run_rows": F.lit(1), "_run_bytes": F.coalesce(F.col(size), F.lit(0))})
+    return run.filter((F.col("_run_rows") <= max_rows) & (F.col("_run_bytes") <= max_bytes)).select(*df.columns)
 
 
 def first_rows(df: DataFrame, order: list[str], rows: int) -> DataFrame:

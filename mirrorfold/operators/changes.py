@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from mirrorfold.functions.text import is_uuid, normal_id, utf8_bytes
+from mirrorfold.operators.ordered import values_before
 
 # Fixed value: bytes counted per change on top of its payload.
 ENVELOPE_BYTES = 128
 TXN = ["source", "commit_pos"]
+MARKS = ("commit", "heartbeat")
+# A marker made here sorts behind all rows of its transaction.
+END_SEQ = 2**31 - 1
 
 
 def change_order(df: DataFrame):
@@ -39,6 +43,12 @@ def decode_changes(raw: DataFrame, require_uuid: bool = True) -> tuple[DataFrame
     return changes, rejected
 
 
+def counted_bytes(log: DataFrame) -> DataFrame:
+    """The log with its own count of bytes per row, whatever its producer said."""
+    own = utf8_bytes(F.coalesce(F.to_json("payload"), F.lit(""))) + ENVELOPE_BYTES
+    return log.withColumn("byte_count", F.when(F.col("kind") == "row", own).cast("bigint"))
+
+
 def split_key_changes(log: DataFrame) -> DataFrame:
     """An update that moves a row to another key becomes delete old, clear new,
     write new. ``sub`` orders the parts; other changes keep ``sub`` 0."""
@@ -57,7 +67,9 @@ def split_key_changes(log: DataFrame) -> DataFrame:
 
 
 def after_checkpoint(log: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """Changes above their source's checkpoint; the rest is a replay.
+    """Changes above their source's checkpoint; the rest is a replay, since a
+    checkpoint only moves over transactions that were whole (:func:`committed_only`).
+    Messages without a position are not let through here; refuse them first.
 
     ``checkpoints`` has one row per source, so it is broadcast.
     """
@@ -74,24 +86,60 @@ def distinct_changes(log: DataFrame) -> DataFrame:
 
 def commit_markers(log: DataFrame) -> DataFrame:
     """One row per committed transaction: its commit marker or heartbeat."""
-    return (log.filter(F.col("kind").isin("commit", "heartbeat")).groupBy(*TXN)
+    return (log.filter(F.col("kind").isin(*MARKS)).groupBy(*TXN)
             .agg(F.max("commit_ts").alias("_commit_ts")))
 
 
-def committed_only(log: DataFrame, pending: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def with_marks(log: DataFrame, marked: DataFrame | None = None) -> DataFrame:
+    """A whole log of rows with a commit marker behind every transaction, or
+    those of ``marked(source, commit_pos)``. *Action.*"""
+    keys = log.groupBy(*TXN).agg(F.max("commit_ts").alias("commit_ts"), F.count(F.lit(1)).alias("txn_rows"))
+    chained = values_before(keys, ["source"], ["commit_pos"], {"prev_pos": "commit_pos"})
+    marks = (chained if marked is None else chained.join(marked, TXN, "left_semi")).withColumns(
+        {"kind": F.lit("commit"), "seq": F.lit(END_SEQ)})
+    return log.unionByName(marks, allowMissingColumns=True)
+
+
+def transactions(log: DataFrame) -> DataFrame:
+    """One row per transaction: whether it is marked, its rows, and what its marker says."""
+    mark = F.col("kind").isin(*MARKS)
+    none = F.lit(None).cast("bigint")
+    said = F.when(F.col("kind") == "heartbeat", F.coalesce(F.col("txn_rows"), F.lit(0))).otherwise(
+        F.col("txn_rows")) if "txn_rows" in log.columns else none
+    before = F.col("prev_pos") if "prev_pos" in log.columns else none
+    return log.groupBy(*TXN).agg(
+        F.max(mark).alias("_marked"), F.count(F.when(F.col("kind") == "row", 1)).alias("_have"),
+        F.max(F.when(mark, said)).alias("_want"), F.max(F.when(mark, before)).alias("_prev"),
+        F.count_distinct(F.when(mark & (F.col("kind") == "commit"), F.struct(
+            "commit_ts", F.coalesce(said, none).alias("n"), F.coalesce(before, none).alias("p")))).alias("_ends"),
+        F.max(F.when(F.col("kind") == "commit", F.col("seq"))).alias("_end"),
+        F.max(F.when(F.col("kind") == "row", F.col("seq"))).alias("_last"), F.count(F.lit(1)).alias("messages"))
+
+
+def committed_only(log: DataFrame, pending: DataFrame | None = None,
+                   checkpoints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Splits into ``(ready, still_open)``; both keep the envelope columns.
 
-    A transaction is ready when its commit marker is there and no older
-    transaction of its source is still open, so that changes always apply in
-    log order. Markers of ready transactions are part of ``ready`` (they move
-    the checkpoint, also for a heartbeat without rows).
+    A transaction is ready when its marker is there, all the rows that the
+    marker counts are there, and the chain of markers leads from it to the
+    checkpoint (or to the start of the log, where none is given) without a gap
+    and over ready transactions alone. So changes apply in log order, whatever
+    order they arrive in, and what lies at or below a checkpoint was applied.
+    Markers of ready transactions are part of ``ready``: they move the
+    checkpoint, also for a heartbeat without rows.
     """
     everything = log if pending is None else distinct_changes(pending.unionByName(log))
-    rows = everything.filter(F.col("kind") == "row")
-    marked = rows.select(*TXN).distinct().join(commit_markers(everything), TXN, "left")
-    floor = (marked.filter(F.col("_commit_ts").isNull()).groupBy("source")
-             .agg(F.min("commit_pos").alias("_floor")))
-    # One row per source at most.
+    txns = transactions(everything)
+    if checkpoints is None:
+        start = txns.groupBy("source").agg((F.min("commit_pos") - 1).alias("_start"))
+    else:
+        start = checkpoints.select("source", F.col("position").alias("_start"))
+    # One row per source.
+    chained = txns.join(F.broadcast(start), "source", "left").filter(
+        F.col("_marked") & (F.col("_prev") > F.coalesce("_start", F.lit(-1).cast("bigint"))))
+    gaps = chained.join(txns.select("source", F.col("commit_pos").alias("_prev")), ["source", "_prev"], "left_anti")
+    unready = txns.filter(~F.col("_marked") | (F.col("_have") < F.col("_want"))).select(*TXN).unionByName(gaps.select(*TXN))
+    floor = unready.groupBy("source").agg(F.min("commit_pos").alias("_floor"))
     floored = everything.join(F.broadcast(floor), "source", "left")
     is_ready = F.col("_floor").isNull() | (F.col("commit_pos") < F.col("_floor"))
     # A row takes the time of its commit marker. Every transaction below the
@@ -102,18 +150,26 @@ def committed_only(log: DataFrame, pending: DataFrame | None = None) -> tuple[Da
     return stamped, floored.filter(~is_ready).select(*log.columns)
 
 
-def transaction_faults(log: DataFrame) -> DataFrame:
-    """Messages that break the transaction protocol: ``(source, commit_pos, fault, messages)``."""
-    is_row = F.col("kind") == "row"
-    outside = is_row & (F.col("commit_pos").isNull() | F.col("seq").isNull())
-    per_txn = (log.filter(F.col("commit_pos").isNotNull()).groupBy(*TXN)
-               .agg(F.countDistinct(F.when(F.col("kind") == "commit", F.col("commit_ts"))).alias("_times"),
-                    F.max(F.when(F.col("kind") == "commit", F.col("seq"))).alias("_end"),
-                    F.max(F.when(is_row, F.col("seq"))).alias("_last"),
-                    F.count(F.lit(1)).alias("messages")))
-    found = per_txn.select(*TXN, F.explode(F.filter(F.array(
-        F.when(F.col("_times") > 1, F.lit("conflicting_commit")),
-        F.when(F.col("_last") > F.col("_end"), F.lit("row_after_commit"))), lambda f: f.isNotNull())).alias("fault"),
-        "messages")
-    return found.unionByName(log.filter(outside).groupBy(*TXN).agg(F.count(F.lit(1)).alias("messages"))
-                             .withColumn("fault", F.lit("row_outside_transaction")))
+def rows_outside(log: DataFrame) -> DataFrame:
+    """Rows without a position or sequence number, and markers without a position."""
+    return log.filter(F.col("commit_pos").isNull() | (F.col("seq").isNull() & (F.col("kind") == "row")))
+
+
+def transaction_faults(log: DataFrame, checkpoints: DataFrame | None = None) -> DataFrame:
+    """Messages that break the transaction protocol: ``(source, commit_pos, fault, messages)``.
+
+    With ``checkpoints``, markers that do not prove their transaction whole
+    and in its place are faults too.
+    """
+    per_txn = transactions(log.filter(F.col("commit_pos").isNotNull()))
+    found = [F.when(F.col("_ends") > 1, F.lit("conflicting_commit")),
+             F.when(F.col("_last") > F.col("_end"), F.lit("row_after_commit")),
+             F.when(F.col("_have") > F.col("_want"), F.lit("rows_beyond_count"))]
+    if checkpoints is not None:
+        per_txn = per_txn.join(F.broadcast(checkpoints.select("source", "position")), "source", "left")
+        found += [F.when(F.col("_marked") & F.col("_want").isNull(), F.lit("marker_without_count")),
+                  F.when(F.col("_marked") & F.col("_prev").isNull() & (F.col("position") > 0), F.lit("marker_without_chain")),
+                  F.when(F.col("_marked") & (F.col("_prev") >= F.col("commit_pos")), F.lit("marker_without_chain"))]
+    faults = per_txn.select(*TXN, F.explode(F.array_distinct(F.array_compact(F.array(*found)))).alias("fault"), "messages")
+    outside = rows_outside(log).groupBy(*TXN).agg(F.count(F.lit(1)).alias("messages"))
+    return faults.unionByName(outside.withColumn("fault", F.lit("row_outside_transaction")))

@@ -50,7 +50,3 @@ def new_touches(pre: dict[str, DataFrame], log: DataFrame) -> DataFrame:
 
 def merge_ledger(ledger: DataFrame, touched: DataFrame) -> DataFrame:
     return ledger.unionByName(touched).groupBy(*KEY).agg(F.max("last_commit_ts").alias("last_commit_ts"))
-
-
-def update_ledger(ledger: DataFrame, pre: dict[str, DataFrame], log: DataFrame) -> DataFrame:
-    return merge_ledger(ledger, new_touches(pre, log))

@@ -1,106 +1,56 @@
 """Running values in log order, without one task holding a whole order.
 
 A plain unpartitioned window moves every row to one task, and a window per key
-does the same to a hot key. Above a small size the order is therefore cut into
-ranges by sampled split points; sums and last values are computed inside each
-range in parallel, and a carry, one small row per range, links the ranges. The
-split points only balance the work: the result is exact whatever they are.
+does the same to a hot key. So the rows are staged once, dealt out by Spark's
+range partitioning into as many ranges as their number asks for, each with its
+number as a column. Sums and last values are computed inside each range in
+parallel, and a carry, one small row per range and key, links the ranges. It
+is the same path for any number of rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Up to this many rows a plain window in one task is the cheaper plan.
-SMALL = 50_000
-MAX_RANGES = 256
-SAMPLES_PER_RANGE = 32
-TREE = 32
-RANGE = "_range"
+from mirrorfold.session import cut_lineage
 
+RANGE_ROWS = 1_000_000  # rows aimed at in a range
+BLOCK = 1_000  # ranges whose totals are added up together
+RANGE = "_range"
 
-def split_points(df: DataFrame, order: list[str], ranges: int | None = None) -> list[tuple]:
-    """Action. Ascending split points of ``order``; none for a small frame.
 
-    As Spark's own range partitioner does, rows are sampled to the driver: by
-    the hash of their order key, about ``SAMPLES_PER_RANGE`` per range. So what
-    is collected is bounded by the number of ranges, not by the data.
-    """
-    if ranges is None:
-        rows = df.count()
-        if rows <= SMALL:
-            return []
-        ranges = max(8, min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    else:
-        rows = df.count()
-    step = max(1, rows // (ranges * SAMPLES_PER_RANGE))
-    picked = df.select(*order).filter(F.pmod(F.xxhash64(*order), F.lit(step)) == 0)
-    sample = picked.agg(F.sort_array(F.collect_set(F.struct(*order))).alias("keys"))
-    every = F.greatest(F.lit(1), F.ceil(F.size("keys") / F.lit(ranges))).cast("int")
-    points = sample.select(F.filter("keys", lambda _, i: F.pmod(i, every) == 0).alias("points")).first()["points"]
-    return [tuple(p) for p in points]
-
-
-def _typed(df: DataFrame, order: list[str], point: tuple) -> list[Column]:
-    return [F.lit(v).cast(df.schema[c].dataType) for c, v in zip(order, point)]
-
-
-def before_point(df: DataFrame, order: list[str], point: tuple, inclusive: bool = False) -> Column:
-    """Whether a row comes before a point (or is at it), compared column by column."""
-    values = _typed(df, order, point)
-    out = F.col(order[-1]) <= values[-1] if inclusive else F.col(order[-1]) < values[-1]
-    for column, value in reversed(list(zip(order[:-1], values[:-1]))):
-        out = (F.col(column) < value) | ((F.col(column) == value) & out)
-    return out
-
-
-def _search(df: DataFrame, order: list[str], points: list[tuple], first: int, last: int) -> Column:
-    """Points passed, as a balanced tree of comparisons (compiled, log2 deep)."""
-    if first == last:
-        return F.lit(first)
-    middle = (first + last) // 2
-    return F.when(before_point(df, order, points[middle]), _search(df, order, points, first, middle)).otherwise(
-        _search(df, order, points, middle + 1, last))
-
-
-def with_range(df: DataFrame, order: list[str], points: list[tuple]) -> DataFrame:
-    """Adds the number of the range a row falls in; ranges follow ``order``.
-
-    A tree of comparisons finds a coarse range; with many points a binary search
-    in their literal array finishes, so that the compiled code stays small.
-    """
-    if len(points) <= TREE:
-        return df.withColumn(RANGE, _search(df, order, points, 0, len(points)))
-    width = -(-len(points) // TREE)
-    coarse = points[width - 1::width]
-    padded = F.array(*[F.struct(*[v.alias(c) for c, v in zip(order, _typed(df, order, p))]) for p in points])
-    start = F.col("_coarse") * F.lit(width)
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range((width - 1).bit_length()))])
-    passed = lambda n: (n <= len(points)) & (F.get(padded, n - 1) <= F.struct(*order))
-    found = F.aggregate(steps, start, lambda low, step: F.when(passed(low + step), low + step).otherwise(low))
-    return (df.withColumn("_coarse", _search(df, order, coarse, 0, len(coarse)))
-            .withColumn(RANGE, found).drop("_coarse"))
+def in_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """Action. ``df`` staged in ranges that follow ``order``, with their number.
+    Equal values of ``order`` share a range; nulls come first, as in a window."""
+    ranges = ranges or max(1, -(-df.count() // RANGE_ROWS))
+    return cut_lineage(df.repartitionByRange(ranges, *order).withColumn(RANGE, F.spark_partition_id()))
 
 
-def _cut_keys(ranged: DataFrame, keys: list[str], points: list[tuple]) -> DataFrame:
-    """Rows of the keys a split point falls into; only those cross ranges."""
-    if not keys:
-        return ranged
-    cut = list(dict.fromkeys(p[:len(keys)] for p in points))
-    if len(keys) == 1:
-        return ranged.filter(F.col(keys[0]).isin(*[p[0] for p in cut]))
-    literals = F.array(*[F.struct(*[v.alias(k) for k, v in zip(keys, _typed(ranged, keys, p))]) for p in cut])
-    return ranged.filter(F.array_contains(literals, F.struct(*keys)))
+def _with_carry(local: DataFrame, keys: list[str], carry: DataFrame) -> DataFrame:
+    """``local`` with the carry of its key and range; a null key is a key."""
+    names = {k: f"_k_{k}" for k in [*keys, RANGE]}
+    other = carry.withColumnsRenamed(names)
+    same = [F.col(k).eqNullSafe(F.col(name)) for k, name in names.items()]
+    # A hot key has many rows on one side of this join alone, so it can be split.
+    return local.join(other, same, "left").drop(*names.values())
 
 
-def _before(keys: list[str]):
-    return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+def _sums_before(totals: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """From totals ``_t_*`` per key and range to ``_c_*``, the sums of the ranges before."""
+    zero = F.lit(0).cast("bigint")
 
+    def before(column, *parts, order):
+        here = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(column).over(here), zero)
 
-def _with_carry(ranged: DataFrame, keys: list[str], carry: DataFrame) -> DataFrame:
-    # At most two rows per range (a range can only start or end inside a key),
-    # so the broadcast is bounded by the number of ranges, not by the data.
-    return ranged.join(F.broadcast(carry), [*keys, RANGE], "left")
+    if keys:
+        return totals.select(*keys, RANGE, *[before(f"_t_{n}", *keys, order=RANGE).alias(f"_c_{n}") for n in names])
+    blocked = totals.withColumn("_block", F.floor(F.col(RANGE) / BLOCK))
+    blocks = blocked.groupBy("_block").agg(*[F.sum(f"_t_{n}").alias(f"_b_{n}") for n in names])
+    # One row per thousand ranges, that is per thousand million rows.
+    ahead = blocks.select("_block", *[before(f"_b_{n}", F.lit(0), order="_block").alias(f"_a_{n}") for n in names])
+    return blocked.join(ahead, "_block").select(
+        RANGE, *[(before(f"_t_{n}", "_block", order=RANGE) + F.col(f"_a_{n}")).alias(f"_c_{n}") for n in names])
 
 
 def running_sums(df: DataFrame, order: list[str], sums: dict[str, Column], keys: list[str] | None = None,
@@ -108,22 +58,17 @@ def running_sums(df: DataFrame, order: list[str], sums: dict[str, Column], keys:
     """Adds, per output name, the sum from the first row up to this one.
 
     ``keys`` restarts the sum per key. ``order`` must be unique within a key.
-    Samples split points first (an action); the rest is lazy.
+    Stages the frame first (an action); the rest is lazy.
     """
     keys = keys or []
     full = [*keys, *[c for c in order if c not in keys]]
-    points = split_points(df, full, ranges)
     valued = df.select("*", *[c.cast("bigint").alias(f"_v_{name}") for name, c in sums.items()])
-    ranged = with_range(valued, full, points)
+    ranged = in_ranges(valued, full, ranges)
     here = Window.partitionBy(RANGE, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.select("*", *[F.sum(f"_v_{n}").over(here).alias(f"_l_{n}") for n in sums])
-    if not points:
-        return local.select(*df.columns, *[F.col(f"_l_{n}").alias(n) for n in sums])
-    totals = (_cut_keys(ranged, keys, points).groupBy(*keys, RANGE)
-              .agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums]))
-    carry = totals.select(*keys, RANGE, *[F.sum(f"_t_{n}").over(_before(keys)).alias(f"_c_{n}") for n in sums])
-    out, zero = _with_carry(local, keys, carry), F.lit(0).cast("bigint")
-    return out.select(*df.columns, *[(F.col(f"_l_{n}") + F.coalesce(f"_c_{n}", zero)).alias(n) for n in sums])
+    totals = ranged.groupBy(*keys, RANGE).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    out = _with_carry(local, keys, _sums_before(totals, keys, list(sums)))
+    return out.select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(n) for n in sums])
 
 
 def values_before(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
@@ -131,19 +76,17 @@ def values_before(df: DataFrame, keys: list[str], order: list[str], values: dict
     """Adds, per output name, the last non-null value of the named column in the
     rows of the same key strictly before this one.
 
-    Samples split points first (an action); the rest is lazy.
+    Stages the frame first (an action); the rest is lazy.
     """
     full = [*keys, *[c for c in order if c not in keys]]
-    points = split_points(df, full, ranges)
-    ranged = with_range(df, full, points)
+    ranged = in_ranges(df, full, ranges)
     here = Window.partitionBy(RANGE, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.select("*", *[F.last(v, ignorenulls=True).over(here).alias(f"_l_{n}") for n, v in values.items()])
-    if not points:
-        return local.select(*df.columns, *[F.col(f"_l_{n}").alias(n) for n in values])
-    lasts = (_cut_keys(ranged, keys, points).groupBy(*keys, RANGE)
+    lasts = (ranged.groupBy(*keys, RANGE)
              .agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(f"_t_{n}")
                     for n, v in values.items()]))
-    carry = lasts.select(*keys, RANGE, *[F.last(f"_t_{n}", ignorenulls=True).over(_before(keys)).alias(f"_c_{n}")
+    before = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = lasts.select(*keys, RANGE, *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}")
                                          for n in values])
     return (_with_carry(local, keys, carry)
             .select(*df.columns, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in values]))

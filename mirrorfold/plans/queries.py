@@ -425,14 +425,10 @@ def _marked(b: Bindings) -> DataFrame:
     """The event log with commit markers for all but every 97th transaction of
     its last tenth, which are still open."""
     log = b.event_log()
-    keys = log.groupBy("source", "commit_pos").agg(F.max("commit_ts").alias("commit_ts"))
     top = log.agg(F.max("commit_pos").alias("m")).select((F.col("m") * 9 / 10).cast("bigint"))
-    marks = keys.withColumn("_late", top.scalar()).filter(
+    ended = log.select("source", "commit_pos").distinct().withColumn("_late", top.scalar()).filter(
         ~((F.col("commit_pos") > F.col("_late")) & (F.col("commit_pos") % 97 == 0)))
-    names = {"kind": F.lit("commit"), "seq": F.lit(1000)}
-    marks = marks.select(*[names.get(c, F.col(c) if c in ("source", "commit_pos", "commit_ts") else
-                                     F.lit(None).cast(log.schema[c].dataType)).alias(c) for c in log.columns])
-    return log.unionByName(marks)
+    return changes.with_marks(log, ended)
 
 
 OPEN_SQL = """(select coalesce(min(commit_pos), 1e18) from event_log where commit_pos % 97 = 0 and commit_pos >
@@ -630,12 +626,24 @@ def reconcile_diff(b):
     return compare.reconcile(_post_accounts(b), b.accounts(), "id", ["id", "name", "status"])
 
 
-@query(sql("""select 'operations' as table_name, case when m.id is null then 'only_in_source' else 'only_in_mirror'
+RECONCILE_SQL = sql("""select 'operations' as table_name, case when m.id is null then 'only_in_source' else 'only_in_mirror'
     end as kind, count(*) as keys from post_operations s full join operations m on s.id = m.id
     where m.id is null or s.id is null group by 1, 2
     union all select 'operations', 'differing', count(*) from post_operations s join operations m on s.id = m.id
     where (s.account_id, s.description, s.amount) is distinct from (m.account_id, m.description, m.amount)
-    having count(*) > 0""", "operations", "post_operations"))
+    having count(*) > 0""", "operations", "post_operations")
+
+
+@query(RECONCILE_SQL)
+def reconcile_store(b):
+    """The same over every table, column and the report of a store."""
+    store, sources = _store(b, "reconciled"), _whole_sources(b)
+    lifecycle.load_snapshot(store, sources, _descriptors(0))
+    sources["operations"] = merge.merge_full(b.operations(), _whole_rows(b), OPERATIONS)
+    return lifecycle.reconcile_store(store, sources)
+
+
+@query(RECONCILE_SQL)
 def reconcile_summary(b):
     source = merge.merge_full(b.operations(), _whole_rows(b), OPERATIONS)
     return compare.reconcile_summary({"operations": compare.reconcile(
@@ -1055,19 +1063,47 @@ def published_report(b):
     return _wall(store.report())
 
 
-@query(sql(report_sql("post_operations", "post_accounts", "post_transactions"), *POST))
-def streamed_report(b):
-    """Snapshot, then the mixed log as JSON lines through the streaming job."""
+def _streamed(b: Bindings, files: int | None = None) -> Store:
+    """A store with the snapshot and then the mixed log, as JSON lines, streamed
+    into it: all files at once, or ``files`` files one after the other, into
+    which rows and markers are dealt by their hash."""
     store, folder = _store(b, "streamed"), scratch(b.spark, "log")
     lifecycle.load_snapshot(store, _whole_sources(b), _descriptors(-1))
-    log = b.mixed_log().withColumn("commit_ts", F.col("commit_ts").cast("timestamp"))
-    keys = log.groupBy("source", "commit_pos").agg(F.max("commit_ts").alias("commit_ts"))
-    given = {"source", "commit_pos", "commit_ts"}
-    marks = keys.select(*[F.col(f.name) if f.name in given else F.lit("commit").alias("kind") if f.name == "kind" else
-                          F.lit(None).cast(f.dataType).alias(f.name) for f in ENVELOPE.fields])
-    changelog.write_change_log(log.select(*ENVELOPE.fieldNames()).unionByName(marks), folder)
-    start_stream(b.spark, store, folder, scratch(b.spark, "checkpoint"), UNBOUNDED).awaitTermination()
-    return _wall(store.report())
+    log = changes.with_marks(b.mixed_log().withColumn("commit_ts", F.col("commit_ts").cast("timestamp")))
+    log = log.select(*ENVELOPE.fieldNames())
+    if files:
+        log = log.repartition(files, F.xxhash64("source", "commit_pos", "seq", "kind"))
+    changelog.write_change_log(log, folder)
+    start_stream(b.spark, store, folder, scratch(b.spark, "checkpoint"), UNBOUNDED,
+                 files_per_trigger=1 if files else None).awaitTermination()
+    return store
+
+
+@query(sql(report_sql("post_operations", "post_accounts", "post_transactions"), *POST))
+def streamed_report(b):
+    """Snapshot, then the mixed log through the streaming job."""
+    return _wall(_streamed(b).report())
+
+
+@query(sql(report_sql("post_operations", "post_accounts", "post_transactions"), *POST))
+def streamed_in_parts(b):
+    """The same, file by file, with transactions torn over files in no order."""
+    return _wall(_streamed(b, 3).report())
+
+
+@query(sql("""select 'accounts' as source, max(commit_pos) as position, cast((select count(*) from accounts)
+    + (select count(*) from assets) + (select count(*) from contacts) + (select count(*) from account_history)
+    + count(*) as bigint) as rows_applied from account_log
+    union all select 'financials', max(commit_pos), cast((select count(*) from operations)
+    + (select count(*) from keyed_transactions) + (select count(*) from payment_means)
+    + (select count(*) from collection_orders) + count(*) as bigint) from (
+    select commit_pos from event_log union all select commit_pos from parent_log)""",
+           "accounts", "assets", "contacts", "account_history", "account_log", "operations", "keyed_transactions",
+           "payment_means", "collection_orders", "event_log", "parent_log"))
+def streamed_checkpoints(b):
+    """Positions and counters as the stream leaves them."""
+    store = _streamed(b)
+    return lifecycle.checkpoints_frame(store, store.require()).select("source", "position", "rows_applied")
 
 
 @query(sql(report_sql("post_operations", "accounts", "keyed_transactions"), "accounts", "post_operations",

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mirrorfold.contracts import CONSUMER_VIEWS, contract
 from mirrorfold.errors import Refused
 from mirrorfold.operators.readmodels import project_columns
+from mirrorfold.sources.store import Store
 
 
 def create_views(spark: SparkSession, owner: str, consumers: list[str] | None = None) -> list[str]:
@@ -32,6 +33,16 @@ def create_views(spark: SparkSession, owner: str, consumers: list[str] | None =
     return created
 
 
+def read_store(store: Store, statement: str) -> DataFrame:
+    """The answer of a SQL statement over the newest manifest: mirrors and
+    report are there under their names, all of one version, and a commit
+    between two calls is seen by the second."""
+    manifest = store.require()
+    for name in manifest["published"]["tables"]:
+        store.table(name, manifest).createOrReplaceTempView(name)
+    return store.spark.sql(statement)
+
+
 def temporary_views(tables: dict[str, DataFrame], consumers: list[str] | None = None) -> list[str]:
     """The same for a session only, named ``<consumer>_<table>``."""
     created = []

@@ -1,15 +1,15 @@
 """One streaming query applies the logs of both sources to one store.
 
-``foreachBatch`` may run a batch again, so the effect is made idempotent by the
-manifest: it names the last batch of this query, and positions at or below the
-checkpoint are a replay. The manifest is published before Spark commits the
-batch, never after.
+``foreachBatch`` may run a batch again, and files may arrive in any order. The
+effect is idempotent by positions alone: a checkpoint moves only over whole
+transactions without a gap before them, so what lies at or below it is a
+replay, and everything else is kept until it is whole. The manifest is
+published before Spark commits the batch, never after.
 """
 
 from __future__ import annotations
 
 import copy
-import hashlib
 from datetime import timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,11 +18,12 @@ from pyspark.sql.streaming import StreamingQuery
 from mirrorfold.contracts import ENVELOPE, MIRRORED, REPORT
 from mirrorfold.errors import Refused
 from mirrorfold.operators.budgets import check_transactions
-from mirrorfold.operators.changes import after_checkpoint, committed_only, distinct_changes, transaction_faults
+from mirrorfold.operators.changes import (
+    after_checkpoint, committed_only, counted_bytes, distinct_changes, rows_outside, transaction_faults)
 from mirrorfold.operators.checks import SourceDescriptor, guard_position
-from mirrorfold.operators.progress import batch_progress
+from mirrorfold.operators.progress import advance, batch_progress
 from mirrorfold.plans.apply import State, apply_batch, guard_log
-from mirrorfold.plans.lifecycle import checkpoints_frame, require_binding, utc_now
+from mirrorfold.plans.lifecycle import batch_facts, checkpoints_frame, require_binding, utc_now, write_facts
 from mirrorfold.settings import Limits
 from mirrorfold.sources.changelog import read_change_log
 from mirrorfold.sources.store import FRAMES, Store
@@ -40,47 +41,47 @@ def guard_start(store: Store, descriptors: dict[str, SourceDescriptor], limits:
     return manifest
 
 
-def sync_batch(store: Store, messages: DataFrame, limits: Limits, stream: str | None = None,
-               batch: int | None = None) -> dict:
+def sync_batch(store: Store, messages: DataFrame, limits: Limits) -> dict:
     """Action. Applies one micro-batch (or any batch of messages) and publishes
     mirrors, report, ledger, open transactions and checkpoints together."""
     manifest = store.require()
     if manifest["working"]:
         raise Refused("window_open", "a window is staged; drain it before streaming")
-    done = manifest["stream"]
-    if stream and done and done["id"] == stream and done["batch"] >= batch:
-        return manifest
-    # Staged once: parsed, durable, and read back by every step below.
-    _, log = store.keep("log", messages.select(*ENVELOPE.fieldNames()))
+    # Staged once: parsed, counted, durable, and read back by every step below.
+    _, log = store.keep("log", counted_bytes(messages.select(*ENVELOPE.fieldNames())))
     guard_log(log)
+    outside = rows_outside(log).first()
+    if outside is not None:
+        raise Refused("row_outside_transaction", f"a message of {outside['source']} has no position or number")
     checkpoints = checkpoints_frame(store, manifest)
     known = set(manifest["published"]["checkpoints"])
     strangers = log.filter(~F.col("source").isin(*known) if known else F.lit(True)).select("source").first()
     if strangers is not None:
         raise Refused("no_snapshot", f"{strangers['source']} has no snapshot; load it first")
-    fresh = after_checkpoint(log, checkpoints)
-    fault = transaction_faults(fresh).first()
+    fresh = distinct_changes(after_checkpoint(log, checkpoints))
+    waiting = store.pending(manifest)
+    fault = transaction_faults(
+        fresh if waiting is None else distinct_changes(waiting.unionByName(fresh)), checkpoints).first()
     if fault is not None:
         raise Refused(fault["fault"], f"transaction {fault['commit_pos']} of {fault['source']}")
-    ready, still_open = committed_only(distinct_changes(fresh), store.pending(manifest))
+    ready, still_open = committed_only(fresh, waiting, checkpoints)
     _, ready = store.keep("ready", ready)
     pending_path, still_open = store.keep("pending", still_open)
     check_transactions(still_open, limits)
-    mark = {"id": stream, "batch": batch} if stream else done
-    progress = {r["source"]: r for r in batch_progress(ready).collect()}
+    before = manifest["published"]["checkpoints"]
+    # One row per source.
+    moved = {r["source"]: r for r in advance(checkpoints, batch_progress(ready)).collect()}
+    ahead = {s: r for s, r in moved.items() if r["position"] > before[s]["position"]}
     pending_rows = store.rows_in(pending_path)
-    open_now = {"pending": pending_path if pending_rows else None, "pending_rows": pending_rows, "stream": mark}
+    open_now = {"pending": pending_path if pending_rows else None, "pending_rows": pending_rows}
     published = copy.deepcopy(manifest["published"])
-    if any(r["rows_applied"] for r in progress.values()):
+    if any(r["rows_applied"] > before[s]["rows_applied"] for s, r in ahead.items()):
         _apply(store, manifest, published, ready, checkpoints, limits)
-    for source, moved in progress.items():
-        old = published["checkpoints"][source]
+    for source, now in ahead.items():
         published["checkpoints"][source] = {
-            **old, "position": max(old["position"], moved["position"]), "applied_at": utc_now(),
-            "last_commit_at": _iso(moved["last_commit_at"]) or old["last_commit_at"],
-            "rows_applied": old["rows_applied"] + moved["rows_applied"],
-            "batches_applied": old["batches_applied"] + moved["batches_applied"]}
-    if not progress and open_now["pending_rows"] == manifest.get("pending_rows", 0) and not stream:
+            **before[source], "applied_at": utc_now(), "last_commit_at": _iso(now["last_commit_at"]),
+            **{k: now[k] for k in ("position", "rows_applied", "batches_applied")}}
+    if not ahead and pending_rows == manifest.get("pending_rows", 0):
         return manifest
     return store.publish(manifest["version"], {**manifest, **open_now, "published": published})
 
@@ -112,22 +113,25 @@ def _apply(store: Store, manifest: dict, published: dict, ready: DataFrame, chec
 
 def start_stream(spark: SparkSession, store: Store, log_paths: str | list[str], checkpoint: str, limits: Limits,
                  descriptors: dict[str, SourceDescriptor] | None = None, trigger: dict | None = None,
-                 files_per_trigger: int | None = None) -> StreamingQuery:
+                 files_per_trigger: int | None = None, facts: str | None = None) -> StreamingQuery:
     """Action. Starts the query. ``trigger`` is what ``DataStreamWriter.trigger``
     takes: ``{"availableNow": True}`` drains and stops (the default),
-    ``{"processingTime": "30 seconds"}`` keeps following."""
+    ``{"processingTime": "30 seconds"}`` keeps following. After each batch that
+    published, its facts are appended to the folder ``facts``."""
     if descriptors is not None:
         guard_start(store, descriptors, limits)
-    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
     log = read_change_log(spark, log_paths, streaming=True, files_per_trigger=files_per_trigger)
     return (log.writeStream.trigger(**(trigger or {"availableNow": True}))
             .option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda df, number: _run(store, df, limits, stream, number))
+            .foreachBatch(lambda df, _: _run(store, df, limits, facts))
             .start())
 
 
-def _run(store: Store, messages: DataFrame, limits: Limits, stream: str, number: int) -> None:
-    sync_batch(store, messages, limits, stream, number)
+def _run(store: Store, messages: DataFrame, limits: Limits, facts: str | None = None) -> None:
+    before = store.require()
+    after = sync_batch(store, messages, limits)
+    if facts and after["version"] > before["version"]:
+        write_facts(batch_facts(store, before, after), facts)
 
 
 def run_for(query: StreamingQuery, seconds: float) -> None:

@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
@@ -13,7 +14,8 @@ from mirrorfold.plans.lifecycle import CHECKPOINTS
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 RAW = ("source string, table_name string, commit_pos bigint, commit_ts timestamp, seq int, kind string, "
-       "action string, row_id string, old_row_id string, payload string, byte_count bigint")
+       "action string, row_id string, old_row_id string, payload string, byte_count bigint, txn_rows bigint, "
+       "prev_pos bigint")
 
 
 def at(pos):
@@ -23,11 +25,14 @@ def at(pos):
 def row(pos, seq, table, action, row_id, old=None, **values):
     payload = json.dumps({"id": row_id, **values} if action != "D" else {"id": row_id})
     payload = payload.replace('"@', "").replace('@"', "")  # "@1.20@" stands for the bare number
-    return (BY_NAME[table].source, table, pos, at(pos), seq, "row", action, row_id, old, payload, len(payload) + 128)
+    return (BY_NAME[table].source, table, pos, at(pos), seq, "row", action, row_id, old, payload, len(payload) + 128,
+            None, None)
 
 
-def mark(pos, source="financials", kind="commit", seq=1000):
-    return (source, None, pos, at(pos), seq, kind, None, None, None, None, None)
+def mark(pos, source="financials", kind="commit", seq=1000, rows=None, prev=None):
+    """A marker: ``rows`` in its transaction (1, or 0 for a heartbeat), the one before it at ``prev`` (the position below)."""
+    rows = int(kind == "commit") if rows is None else rows
+    return (source, None, pos, at(pos), seq, kind, None, None, None, None, None, rows, pos - 1 if prev is None else prev)
 
 
 def log_frame(spark, rows):
@@ -42,8 +47,12 @@ def empty_state(spark):
 
 
 def committed(rows):
-    """Adds a commit marker after every transaction."""
-    return rows + [mark(pos, source) for source, pos in sorted({(r[0], r[2]) for r in rows})]
+    """Adds a commit marker after every transaction, each with its rows and the position before it."""
+    counts, before, marks = Counter((r[0], r[2]) for r in rows), {}, []
+    for source, pos in sorted(counts):
+        marks.append(mark(pos, source, rows=counts[source, pos], prev=before.get(source)))
+        before[source] = pos
+    return rows + marks
 
 
 class Model:
@@ -54,7 +63,7 @@ class Model:
         self.touch = {}
 
     def apply(self, rows):
-        for source, table, pos, ts, seq, kind, action, key, old, payload, _ in sorted(rows, key=lambda r: (r[2], r[4])):
+        for source, table, pos, ts, seq, kind, action, key, old, payload, *_ in sorted(rows, key=lambda r: (r[2], r[4])):
             store, values = self.tables[table], json.loads(payload)
             before = dict(store.get(key) or {})
             if action == "D":

@@ -54,7 +54,7 @@ def write_log(folder, rows):
     """One file of JSON lines in the envelope's form."""
     folder.mkdir(parents=True, exist_ok=True)
     names = ("source", "table_name", "commit_pos", "commit_ts", "seq", "kind", "action", "row_id", "old_row_id",
-             "payload", "byte_count")
+             "payload", "byte_count", "txn_rows", "prev_pos")
     with open(folder / f"{uuid.uuid4().hex}.json", "w") as out:
         for values in rows:
             message = dict(zip(names, values))

@@ -48,18 +48,28 @@ def test_values_before(spark, ranges):
     assert {tuple(r) for r in got.collect()} == expected
 
 
-def test_ranges_follow_the_order_for_any_number_of_points(spark):
-    df = spark.createDataFrame(rows(3), SCHEMA)
-    for ranges in (5, 40, 300):
-        points = ordered.split_points(df, ["pos", "seq"], ranges)
-        assert 0 < len(points) <= ranges
-        for r in ordered.with_range(df, ["pos", "seq"], points).collect():
-            assert r["_range"] == sum(p <= (r["pos"], r["seq"]) for p in points)
-
-
-@pytest.mark.parametrize("small", [10, 10**6])
-def test_prefix_within(spark, monkeypatch, small):
-    monkeypatch.setattr(ordered, "SMALL", small)
+def test_ranges_follow_the_order_and_the_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 100)
+    found = ordered.in_ranges(spark.createDataFrame(rows(3), SCHEMA), ["pos", "seq"]).collect()
+    line = sorted(found, key=lambda r: (r["pos"], r["seq"]))
+    assert [r["_range"] for r in line] == sorted(r["_range"] for r in found)
+    assert 3 <= len({r["_range"] for r in found}) <= 6
+
+
+def test_blocks_of_ranges_and_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK", 3)
+    data = [(None if k == "hot" else k, *rest) for k, *rest in rows(6)]
+    df = spark.createDataFrame(data, SCHEMA)
+    whole = {tuple(r) for r in running_sums(df, ["pos", "seq"], {"s": F.col("v")}, None, 40).collect()}
+    total = {r[-1] for r in whole}
+    assert len(whole) == len(data) and max(total) == sum(r[3] for r in data)
+    keyed = running_sums(df, ["pos", "seq"], {"s": F.col("v")}, ["k"], 40).filter("k is null").agg(F.max("s")).first()[0]
+    assert keyed == sum(r[3] for r in data if r[0] is None)
+
+
+@pytest.mark.parametrize("size", [60, 10**6])
+def test_prefix_within(spark, monkeypatch, size):
+    monkeypatch.setattr(ordered, "RANGE_ROWS", size)
     data = rows(4)
     df = spark.createDataFrame(data, SCHEMA)
     line = sorted(data, key=lambda r: r[1:3])
@@ -74,10 +84,10 @@ def test_prefix_within(spark, monkeypatch, small):
         assert sorted(map(tuple, got), key=lambda r: r[1:3]) == expected, (max_rows, max_bytes)
 
 
-def test_no_single_task_holds_the_order(spark, monkeypatch):
-    monkeypatch.setattr(ordered, "SMALL", 10)
+def test_no_single_task_holds_the_order(spark):
     df = spark.createDataFrame(rows(5), SCHEMA)
-    plan = running_sums(df, ["pos", "seq"], {"s": F.col("v")})._jdf.queryExecution().optimizedPlan().toString()
-    windows = [line for line in plan.splitlines() if "Window [" in line]
-    # the only window over one group is the carry, over one row per range
-    assert any("_range" in w.split("[")[2] for w in windows) and len(windows) == 2
+    plan = running_sums(df, ["pos", "seq"], {"s": F.col("v")}, None, 7)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line.split("Window [")[1] for line in plan.splitlines() if "Window [" in line]
+    # One window over the rows of a range, one over the ranges of a block, one over the blocks.
+    over_rows = [w for w in windows if "_v_" in w]
+    assert len(windows) == 3 and len(over_rows) == 1 and "_range" in over_rows[0].split("], [")[1]

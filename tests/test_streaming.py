@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 import mirrorfold.streaming.job as job
 from logs import at, committed, log_frame, mark, row
 from mirrorfold.errors import Refused
-from mirrorfold.plans.lifecycle import checkpoints_frame, descriptors_frame, load_snapshot
+from mirrorfold.plans.lifecycle import (
+    checkpoints_frame, descriptors_frame, load_snapshot, reconcile_store, resnapshot)
+from mirrorfold.plans.views import read_store
+from mirrorfold.plans.window import drain
 from mirrorfold.operators.progress import source_status
 from mirrorfold.settings import Limits
 from mirrorfold.sources.changelog import read_change_log
@@ -71,7 +74,7 @@ def test_stream_applies_logs_of_both_sources_and_resumes(spark, store, tmp_path)
 
 def test_open_transaction_waits_and_keeps_the_order(spark, store):
     push(spark, store, [row(21, 0, "operations", "U", "o1", amount=1), row(22, 0, "operations", "U", "o1", amount=2),
-                        mark(22)])
+                        mark(22, prev=21)])
     assert report_map(store)["o1"]["amount"] == Decimal("10.25")
     manifest = store.manifest()
     assert manifest["pending_rows"] == 3 and manifest["published"]["checkpoints"]["financials"]["position"] == 20
@@ -108,20 +111,122 @@ def test_crash_points_and_replay(spark, store, monkeypatch):
         with monkeypatch.context() as patch:
             patch.setattr(job, target, lambda *a, **k: (_ for _ in ()).throw(RuntimeError("crash")))
             with pytest.raises(RuntimeError):
-                push(spark, store, rows, stream="s", batch=0)
+                push(spark, store, rows)
         assert report_map(store) == before
     with monkeypatch.context() as patch:
         patch.setattr(type(store), "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
         with pytest.raises(RuntimeError):
-            push(spark, store, rows, stream="s", batch=0)
+            push(spark, store, rows)
     assert report_map(store) == before
-    done = push(spark, store, rows, stream="s", batch=0)
+    done = push(spark, store, rows)
     assert report_map(store)["o1"]["amount"] == Decimal("7.00")
-    assert push(spark, store, rows, stream="s", batch=0) == done
+    assert push(spark, store, rows) == done
     replay = push(spark, store, rows)
     assert replay["published"]["checkpoints"] == done["published"]["checkpoints"]
 
 
+def financials(store):
+    manifest = store.manifest()
+    return manifest["published"]["checkpoints"]["financials"]["position"], manifest["pending_rows"]
+
+
+def test_a_late_row_is_waited_for(spark, store):
+    first = row(21, 0, "operations", "U", "o1", amount=1)
+    late = row(21, 1, "operations", "I", "o9", account_id="B", description="late", amount=2)
+    push(spark, store, [first, mark(21, rows=2)])
+    assert financials(store) == (20, 2) and "o9" not in report_map(store)
+    push(spark, store, [late])
+    assert financials(store) == (21, 0) and report_map(store)["o9"]["amount"] == Decimal("2.00")
+    assert report_map(store)["o1"]["amount"] == Decimal("1.00")
+    refuses(spark, store, "rows_beyond_count", [
+        row(22, n, "operations", "U", "o1", amount=n) for n in (0, 1)] + [mark(22, rows=1)])
+
+
+def test_an_older_transaction_in_a_later_file_is_waited_for(spark, store):
+    push(spark, store, [row(23, 0, "operations", "U", "o1", amount=3), mark(23, prev=21)])
+    assert financials(store) == (20, 2) and report_map(store)["o1"]["amount"] == Decimal("10.25")
+    push(spark, store, [row(21, 0, "operations", "I", "o9", account_id="B", description="older", amount=2), mark(21, prev=18)])
+    assert financials(store) == (23, 0)
+    rows = report_map(store)
+    assert (rows["o1"]["amount"], rows["o9"]["amount"]) == (Decimal("3.00"), Decimal("2.00"))
+
+
+def test_markers_without_proof_and_rows_without_place_are_refused(spark, store):
+    change = row(21, 0, "operations", "U", "o1", amount=1)
+    bare = list(mark(21))
+    refuses(spark, store, "marker_without_count", [change, tuple(bare[:-2] + [None, 20])])
+    refuses(spark, store, "marker_without_chain", [change, tuple(bare[:-2] + [1, None])])
+    for at_place in (2, 4):
+        lost = list(change)
+        lost[at_place] = None
+        refuses(spark, store, "row_outside_transaction", [tuple(lost)])
+
+
+def test_own_byte_count(spark, store):
+    rows = [list(row(21, n, "operations", "I", f"x{n}", account_id="A", description="d" * 200, amount=1)) for n in range(6)]
+    for values in rows:
+        values[10] = None
+    refuses(spark, store, "transaction_budget", [*map(tuple, rows), mark(21, rows=6)], Limits(txn_bytes=1024))
+
+
+def test_a_checkpoint_folder_used_again_skips_nothing(spark, store, tmp_path):
+    checkpoint, folder = tmp_path / "checkpoint", tmp_path / "log"
+    write_log(folder, committed([row(21, 0, "operations", "U", "o1", amount=1)]))
+    start_stream(spark, store, str(folder), str(checkpoint), Limits()).awaitTermination(120)
+    emptied = tmp_path / "emptied"
+    checkpoint.rename(emptied)
+    folder.rename(tmp_path / "read")
+    write_log(folder, committed([row(22, 0, "operations", "U", "o1", amount=5)]))
+    start_stream(spark, store, str(folder), str(checkpoint), Limits()).awaitTermination(120)
+    assert financials(store) == (22, 0) and report_map(store)["o1"]["amount"] == Decimal("5.00")
+
+
+def test_resnapshot_keeps_what_is_open_above_it(spark, store):
+    push(spark, store, [row(21, 0, "operations", "U", "o1", amount=1), row(25, 0, "operations", "U", "o1", description="open")])
+    assert financials(store) == (20, 2)
+    resnapshot(store, frames(spark, data()), descriptors(10, 22))
+    assert financials(store) == (22, 1)
+    push(spark, store, [row(25, 1, "operations", "U", "o1", amount=9), mark(25, rows=2, prev=22)])
+    assert financials(store) == (25, 0)
+    assert (report_map(store)["o1"]["description"], report_map(store)["o1"]["amount"]) == ("open", Decimal("9.00"))
+
+
+def test_a_window_keeps_the_stamps_of_the_stream(spark, store):
+    push(spark, store, committed([row(21, 0, "operations", "U", "o1", amount=7)]))
+    stamp = report_map(store)["o1"]["last_source_commit_at"]
+    assert stamp is not None
+    rows = data(operations=[("o1", "A", "changed by the window", Decimal("8.00"))])
+    drain(store, frames(spark, rows), descriptors(10, 30), Limits())
+    now = report_map(store)["o1"]
+    assert (now["description"], now["last_source_commit_at"]) == ("changed by the window", stamp)
+
+
+def test_facts_reconciliation_and_newest_version(spark, store, tmp_path):
+    sources = frames(spark, data())
+    assert reconcile_store(store, sources).isEmpty()
+    assert read_store(store, "select amount from operations where id = 'o1'").first()[0] == Decimal("10.25")
+    write_log(tmp_path / "log", committed([row(21, 0, "operations", "U", "o1", amount=7)]))
+    start_stream(spark, store, str(tmp_path / "log"), str(tmp_path / "c"), Limits(), facts=str(tmp_path / "facts")).awaitTermination(120)
+    assert read_store(store, "select amount from account_operations where operation_id = 'o1'").first()[0] == Decimal("7.00")
+    facts = spark.read.json(str(tmp_path / "facts")).collect()
+    assert [(r["source"], r["position"], r["rows"], r["transactions"]) for r in facts] == [("financials", 21, 1, 1)]
+    assert facts[0]["apply_lag_ms"] > 0
+    found = {tuple(r) for r in reconcile_store(store, sources).collect()}
+    assert found == {("operations", "differing", 1)}
+    # A fault in the report itself is found too.
+    manifest = store.manifest()
+    path, _ = store.keep("account_operations", store.report().limit(0))
+    tables = {**manifest["published"]["tables"], "account_operations": {"base": path, "deltas": [], "rows": 0, "delta_rows": 0}}
+    store.publish(manifest["version"], {**manifest, "published": {**manifest["published"], "tables": tables}})
+    assert ("account_operations", "only_in_source", 1) in {tuple(r) for r in reconcile_store(store, sources).collect()}
+
+
+def test_contacts_that_repeat_are_refused(spark, tmp_path):
+    twice = data(contact_information=[("c1", "A", "a@x.test", "1"), ("c2", "A", "b@x.test", "2")])
+    with pytest.raises(Refused, match="^key_contract:"):
+        load_snapshot(new_store(spark, tmp_path), frames(spark, twice), descriptors(10, 20))
+
+
 def test_start_guards(spark, store):
     def check(code, **changed):
         with pytest.raises(Refused, match=f"^{code}:"):
