@@ -170,6 +170,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, columns unchanged. *Action.*"""
     counted = with_counts(docs.select("doc_id", "lang", "text")).drop("text")
     cutoffs = calibrate(counted, labels)
-    whole = fresh(docs, "row")
-    packed = with_counts(docs.select(F.struct("*").alias(whole), "text", "lang"))
-    return packed.filter(~base_failed() & (F.size(rejected_by(cutoffs)) == 0)).select(f"{whole}.*")
+    # Columns of docs that are named like a count step aside while the counts are there.
+    aside = {c: fresh(docs, f"own_{c}") for c in docs.columns if c.lower() in COUNTS}
+    kept = with_counts(docs.withColumnsRenamed(aside)).filter(~base_failed() & (F.size(rejected_by(cutoffs)) == 0))
+    return kept.drop(*COUNTS).withColumnsRenamed({new: old for old, new in aside.items()})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mirrorfold.llm import (
     boosted_trees, bpe, chat, decontamination, fuzzy_passages, quality_rules, secret_scan, sharding, simhash, warc)
@@ -38,7 +38,58 @@ def op2_quality_classifier(spark, folder):
 
 @query
 def op3_quality_rules(spark, folder):
-    return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    judged = quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.withColumn("rejected_by", F.array_join("rejected_by", ","))
+
+
+# The counts, then per stratum and rule the cutoffs in order from the loosest, the exact binomial
+# tail of what each would lose, and the best of those before the first that fails.
+ORACLE["op3_quality_rules"] = r"""
+with docs as (select row_number() over () as r, doc_id, lang, coalesce(text, '') as text from documents),
+split as (
+    select r, doc_id, lang, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from docs),
+starts as (
+    select r, unnest(range(len(w) - 4)) as s, unnest(list_transform(range(len(w) - 4), lambda i: w[i + 1:i + 5])) as g
+    from split where len(w) > 4),
+again as (select r, s from starts qualify count(*) over (partition by r, g) > 1),
+covered as (select r, count(distinct p) as n from (select r, unnest(range(s, s + 5)) as p from again) group by r),
+counted as (
+    select split.r, doc_id, lang, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars,
+        length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+        len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n, 0) as n_repeat_words
+    from split left join covered using (r)),
+placed as (
+    select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+        3 * coalesce(list_position(['de', 'en', 'es', 'fr'], lang) - 1, 4) + (n_words >= 100)::int + (n_words >= 1000)::int as stratum
+    from counted),
+ratios as (
+    select r, doc_id, stratum, base_failed, unnest(['symbols', 'repeated_lines', 'repeated_words', 'word_length']) as rule,
+        unnest(list_transform([n_symbols, n_dup_lines, n_repeat_words, word_chars],
+                              lambda x: 1000 * x // greatest(n_words, 1))) as ratio from placed),
+voted as (
+    select doc_id, avg(quality) >= 0.5 as good from labels where doc_id is not null and quality is not null group by doc_id),
+held as (select stratum, rule, ratio, good from ratios join voted using (doc_id) where not base_failed),
+grid as (select unnest([0, 1, 2, 5, 10, 20, 35, 50, 75, 100, 150, 200, 300, 400, 600, 800, 1000, 1500, 2000, 3000, 5000, 8000,
+    12000, 20000]) as cutoff),
+tested as (
+    select stratum, rule, cutoff, count(*) filter (good) as n, count(*) filter (good and ratio > cutoff) as lost,
+        count(*) filter (not good and ratio > cutoff) as caught from held, grid group by all),
+tails as (
+    select *, case when n = 0 or lost >= n then 1.0 else list_sum(list_transform(range(lost + 1), lambda i: exp(
+        lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.0125) + (n - i) * ln(1 - 0.0125)))) end as tail from tested),
+certified as (
+    select *, caught - 20 * lost as worth from tails
+    qualify bool_and(tail <= 0.05 / 60) over (partition by stratum, rule order by cutoff desc)),
+chosen as (
+    select stratum, rule, arg_max(cutoff, (worth, cutoff)) as cutoff from certified where worth > 0 group by stratum, rule),
+hits as (
+    select r, string_agg(rule, ',' order by list_position(['symbols', 'repeated_lines', 'repeated_words', 'word_length'], rule))
+        as rejected_by from ratios join chosen using (stratum, rule) where ratio > cutoff group by r)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
+    n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
+    not base_failed and rejected_by is null as kept, coalesce(rejected_by, '') as rejected_by
+from placed left join hits using (r)"""
 
 
 @query
