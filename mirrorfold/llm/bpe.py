@@ -20,7 +20,6 @@ import heapq
 import json
 import re
 from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from mirrorfold.llm.common import fresh, map_texts
 
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 SCAN_BYTES = 400
 
 # The pattern of this family of vocabularies, and the white space it means by \s.
@@ -111,8 +110,24 @@ class Vocabulary:
         return [p for p in parts if p >= 0]
 
 
+class Words(dict):
+    """From a word to its ids as the bytes of 32-bit numbers; remembers words."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("i", self.vocabulary.merge(word.encode())).tobytes()
+        if len(word) < 100:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder(dict):
-    """From a chunk of text to its ids; remembers chunks."""
+    """From a chunk of text to its ids as bytes; remembers chunks."""
 
     def __init__(self, vocabulary: Vocabulary):
         import regex
@@ -120,11 +135,12 @@ class Encoder(dict):
         super().__init__()
         self.vocabulary = vocabulary
         self.words = regex.compile(WORDS).findall
+        self.known = Words(vocabulary).__getitem__
         self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]").findall
         self.cut = re.compile("(" + "|".join(map(re.escape, vocabulary.special)) + ")").split if vocabulary.special else None
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        ids = tuple(chain.from_iterable(self.vocabulary.merge(w.encode()) for w in self.words(chunk)))
+    def __missing__(self, chunk: str) -> bytes:
+        ids = b"".join(map(self.known, self.words(chunk)))
         if len(chunk) < 100:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -132,13 +148,13 @@ class Encoder(dict):
         return ids
 
     def ids(self, text: str) -> array:
-        out = array("i")
+        parts: list[bytes] = []
         for k, piece in enumerate(self.cut(text) if self.cut else (text,)):
             if k % 2:
-                out.append(self.vocabulary.special[piece])
+                parts.append(array("i", [self.vocabulary.special[piece]]).tobytes())
             else:
-                out.extend(chain.from_iterable(map(self.__getitem__, self.chunks(piece))))
-        return out
+                parts += map(self.__getitem__, self.chunks(piece))
+        return array("i", b"".join(parts))
 
 
 def _ids_column(lists: list[array]) -> pa.Array:
