@@ -1,13 +1,16 @@
 """Sharding by bytes: Karmarkar-Karp differencing over indivisible groups.
 
 Equal keys form a group that stays whole. A partial partition is a tuple of
-shard sums; differencing takes the two with the largest spread (largest minus
+sums; differencing takes the two with the largest spread (largest minus
 smallest sum), adds them in opposite order, and puts the result back, until
 one is left. Groups are dealt at random to buckets of about ``bucket_groups``;
-each bucket is differenced in its own task, the buckets' tuples again by
-``FAN_IN`` at a time, level by level, so no task and not the driver ever sees
-all groups, and every level does the same thing. The number of buckets follows
-the number of rows, which is the only thing the driver learns.
+each bucket is differenced in its own task into ``PARTS`` parts, but for
+``HELD`` of its groups, of sizes from all its range, which stay single. What
+``FAN_IN`` buckets make is then differenced like groups, level by level, and
+the last level makes the shards. So no task and not the driver ever sees all
+groups, a group much larger than others is outweighed by the parts of all
+buckets, and the single groups even out what parts are too coarse for. The
+number of buckets follows the number of rows, all that the driver learns.
 
 Null keys count as empty texts. Empty tables give empty results. Repeated rows
 belong to one group. Null ids are placed like others and come first in slots.
@@ -25,81 +28,88 @@ from mirrorfold.llm.common import text_or_empty
 from mirrorfold.session import cut_lineage
 
 BUCKET_GROUPS = 20_000
-FAN_IN = 256
+PARTS = 256
+HELD = 64
+FAN_IN = 64
 
 
-def difference(tuples: np.ndarray) -> np.ndarray:
-    """For each row of ``tuples`` (partial partitions, any order) the shard that
-    each of its positions goes to, so that the summed shards are near equal."""
-    n, k = tuples.shape
-    order = np.argsort(-tuples, axis=1, kind="stable")
-    sums = [row for row in np.take_along_axis(tuples, order, axis=1)]
-    heap = [(-int(s[0] - s[-1]), i) for i, s in enumerate(sums)]
+def difference(sizes: np.ndarray, ways: int) -> np.ndarray:
+    """The part, 0 to ``ways`` - 1, of each size, so that the sums of parts are near equal."""
+    n = len(sizes)
+    sums: list[np.ndarray | None] = [None] * n  # a single size is made a tuple when it is taken
+    heap = [(-int(s), i) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
+
+    def take() -> tuple[int, np.ndarray]:
+        _, i = heapq.heappop(heap)
+        held, sums[i] = sums[i], None
+        if i < n:
+            held = np.zeros(ways, np.int64)
+            held[0] = sizes[i]
+        return i, held
+
     made: list[tuple[int, int, np.ndarray]] = []
     while len(heap) > 1:
-        _, a = heapq.heappop(heap)
-        _, b = heapq.heappop(heap)
-        total = sums[a] + sums[b][::-1]
+        (a, x), (b, y) = take(), take()
+        total = x + y[::-1]
         rank = np.argsort(-total, kind="stable")
-        made.append((a, b, rank))
-        sums.append(total[rank])
-        sums[a] = sums[b] = None
-        heapq.heappush(heap, (-int(sums[-1][0] - sums[-1][-1]), len(sums) - 1))
-    # From the last combination down: where each sorted position of a tuple went.
-    labels = {n + len(made) - 1: np.arange(k)}
+        made.append((a, b, rank.astype(np.int32)))
+        total = total[rank]
+        sums.append(total)
+        heapq.heappush(heap, (int(total[-1] - total[0]), len(sums) - 1))
+    # From the last combination down: the part of each position of a tuple.
+    labels = {n + len(made) - 1: np.arange(ways, dtype=np.int32)}
+    out = np.zeros(n, np.int32)
     for node in range(n + len(made) - 1, n - 1, -1):
         a, b, rank = made[node - n]
-        at = np.empty(k, np.int64)
+        at = np.empty(ways, np.int32)
         at[rank] = labels.pop(node)
-        labels[a], labels[b] = at, at[::-1]
-    out = np.empty((n, k), np.int64)
-    for i in range(n):
-        out[i, order[i]] = labels[i]
+        for child, places in ((a, at), (b, at[::-1])):
+            if child < n:
+                out[child] = places[0]
+            else:
+                labels[child] = places
     return out
 
 
-def _bucket_step(shards: int):
-    """Groups of one bucket: the local shard of each, and the bucket's sums."""
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "digest"], ascending=[False, True], kind="stable")
-        tuples = np.zeros((len(pdf), shards), np.int64)
-        tuples[:, 0] = pdf["size"].to_numpy()
-        return pd.DataFrame({"bucket": pdf["bucket"], "digest": pdf["digest"], "size": pdf["size"],
-                             "local": difference(tuples)[:, 0]})
-    return step
+def _held(pdf: pd.DataFrame) -> np.ndarray:
+    """Places of the rows that stay single: of groups, or of the single groups of a level before."""
+    free = np.flatnonzero(pdf["part"].to_numpy() >= PARTS) if "part" in pdf else np.arange(len(pdf))
+    return free[np.unique(np.linspace(0, len(free) - 1, HELD).astype(np.int64))] if len(free) else free
 
 
-def _merge_step(shards: int, column: str):
-    """Buckets of one parent: where each local shard goes in the parent."""
+def _step(shards: int, last: bool, key: list[str]):
+    """Items of one node, named by ``key``, with the part or shard ``local`` of each."""
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(column)
-        tuples = np.stack(pdf["sums"].to_numpy()).astype(np.int64)
-        moves = difference(tuples)
-        total = np.zeros(shards, np.int64)
-        np.add.at(total, moves, tuples)
-        return pd.DataFrame({column: pdf[column], "parent": pdf["parent"], "moves": list(moves),
-                             "total": [total] * len(pdf)})
+        pdf = pdf.sort_values(["size", *key], ascending=[False, *[True] * len(key)], kind="stable")
+        sizes = pdf["size"].to_numpy(np.int64)
+        if last:
+            return pdf.assign(local=difference(sizes, shards))
+        local, held = np.zeros(len(pdf), np.int32), _held(pdf)
+        mixed = np.delete(np.arange(len(pdf)), held)
+        local[held] = PARTS + np.arange(len(held))
+        if len(mixed):
+            local[mixed] = difference(sizes[mixed], PARTS)
+        return pdf.assign(local=local)
     return step
 
 
 def balanced_groups(groups: DataFrame, shards: int, buckets: int) -> DataFrame:
     """``digest, shard`` for ``groups(digest, size)``, the sizes of shards near equal. *Action.*"""
-    dealt = groups.select("digest", "size", F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket"))
-    local = cut_lineage(dealt.groupBy("bucket").applyInPandas(
-        _bucket_step(shards), "bucket bigint, digest string, size bigint, local bigint"))
-    sums = [F.sum(F.when(F.col("local") == s, F.col("size")).otherwise(0)) for s in range(shards)]
-    level = local.groupBy("bucket").agg(F.array(*sums).alias("sums"))
-    place = local.select("digest", "local", F.col("bucket").alias("at"))
-    while True:
-        merged = cut_lineage(level.withColumn("parent", F.floor(F.col("bucket") / FAN_IN)).groupBy("parent").applyInPandas(
-            _merge_step(shards, "bucket"), "bucket bigint, parent bigint, moves array<bigint>, total array<bigint>"))
-        place = place.join(merged.withColumnRenamed("bucket", "at"), "at").select(
-            "digest", F.col("moves")[F.col("local").cast("int")].alias("local"), F.col("parent").alias("at"))
+    dealt = groups.select("digest", "size", F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("node"))
+    level = cut_lineage(dealt.groupBy("node").applyInPandas(
+        _step(shards, buckets == 1, ["digest"]), "node bigint, digest string, size bigint, local int"))
+    place = level.select("digest", "node", "local")
+    while buckets > 1:
+        items = level.groupBy(F.col("node").alias("child"), F.col("local").alias("part")).agg(F.sum("size").alias("size"))
         buckets = -(-buckets // FAN_IN)
-        if buckets <= 1:
-            return place.select("digest", F.col("local").cast("int").alias("shard"))
-        level = merged.groupBy(F.col("parent").alias("bucket")).agg(F.first("total").alias("sums"))
+        level = cut_lineage(items.withColumn("node", F.floor(F.col("child") / FAN_IN)).groupBy("node").applyInPandas(
+            _step(shards, buckets == 1, ["child", "part"]), "node bigint, child bigint, part int, size bigint, local int"))
+        moves = level.select(F.col("child").alias("node"), F.col("part").alias("local"), F.col("node").alias("above"),
+                             F.col("local").alias("moved"))
+        place = place.join(moves, ["node", "local"]).select(
+            "digest", F.col("above").alias("node"), F.col("moved").alias("local"))
+    return place.select("digest", F.col("local").alias("shard"))
 
 
 def slots(df: DataFrame, shard: str, order: list[Column], spread: Column, parts: int) -> DataFrame:

@@ -13,15 +13,12 @@ from tests.llm.cases import TEXTS, documents
 def test_differencing_beats_greedy():
     rng = np.random.default_rng(3)
     sizes = rng.lognormal(7, 1, 3000).astype(np.int64)
-    tuples = np.zeros((3000, 16), np.int64)
-    tuples[:, 0] = sizes
-    put = sharding.difference(tuples)[:, 0]
-    sums = np.bincount(put, sizes, 16)
+    sums = np.bincount(sharding.difference(sizes, 16), sizes, 16)
     greedy = np.zeros(16)
     for s in sorted(sizes, reverse=True):
         greedy[greedy.argmin()] += s
     assert sums.max() - sums.min() <= np.ptp(greedy)
-    assert sharding.difference(tuples[:1]).shape == (1, 16)
+    assert sharding.difference(sizes[:1], 16).tolist() == [0]
 
 
 def check(rows, texts, spread):
@@ -45,6 +42,14 @@ def test_many_buckets_and_levels(spark, monkeypatch):
     check(sharding.shard_documents(df, bucket_groups=200).collect(), lambda r: texts[r["doc_id"]], 60)
 
 
+def test_large_group_is_outweighed_by_all_buckets(spark):
+    """A group of nearly a whole shard, larger than a shard's share of its bucket."""
+    rng = random.Random(2)
+    texts = ["w" * rng.randrange(1, 400) + str(rng.randrange(1500)) for _ in range(3000)] + ["c" * 399] * 80
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    check(sharding.shard_documents(df, bucket_groups=500).collect(), lambda r: texts[r["doc_id"]], 400)
+
+
 def test_rows(spark):
     rows = sharding.shard_documents(documents(spark)).collect()
     assert len(rows) == len(TEXTS) + 2
