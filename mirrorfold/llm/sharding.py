@@ -29,8 +29,8 @@ from mirrorfold.session import cut_lineage
 
 BUCKET_GROUPS = 20_000
 PARTS = 256
-HELD = 64
-FAN_IN = 64
+HELD = 1024
+FAN_IN = 16
 
 
 def difference(sizes: np.ndarray, ways: int) -> np.ndarray:
