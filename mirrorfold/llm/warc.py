@@ -32,7 +32,7 @@ from mirrorfold.llm.common import text_or_empty
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-# At most so many bytes of payload, uncompressed, before a file is closed, where rows allow it.
+# At most so many records in one file.
 MAX_ROWS = 10_000
 MAX_HEADER = 1 << 16
 FEED = 1 << 16
