@@ -34,7 +34,6 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 # At most so many records in one file.
 MAX_ROWS = 10_000
-MAX_HEADER = 1 << 16
 FEED = 1 << 16
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
@@ -107,15 +106,22 @@ def _member(data: memoryview, at: int) -> tuple[bytes, int]:
     return b"".join(out), pos - len(unpack.unused_data)
 
 
-def _parse(data, at: int) -> tuple[dict, int]:
+def _parse(data: bytes, at: int) -> tuple[dict, int]:
     """The record at ``at`` of uncompressed bytes, checked, and where it ends."""
-    head = bytes(data[at:at + MAX_HEADER])
-    stop = head.find(END)
-    if not re.match(rb"WARC/1\.[0-9]\r\n", head) or stop < 0:
-        raise Broken("no version line or no end of the header")
+    if not re.fullmatch(rb"WARC/1\.[0-9]\r\n", data[at:at + 10]):
+        raise Broken("no version line")
+    stop = at + 8
     fields: dict[str, str] = {}
     name = ""
-    for line in head[:stop].decode(errors="replace").split("\r\n")[1:]:
+    # Line by line, so that a false start ends at its first line without a name, and a header may have any length.
+    while True:
+        begin = stop + 2
+        stop = data.find(b"\r\n", begin)
+        if stop < 0:
+            raise Broken("no end of the header")
+        if stop == begin:
+            break
+        line = data[begin:stop].decode(errors="replace")
         if line[:1] in (" ", "\t") and name:  # goes on with the line before
             fields[name] += f" {line.strip()}"
             continue
@@ -126,11 +132,11 @@ def _parse(data, at: int) -> tuple[dict, int]:
         fields[name] = value.strip()
     if not re.fullmatch("[0-9]{1,15}", fields.get("content-length", "")):
         raise Broken("no length")
-    start = at + stop + len(END)
+    start = stop + 2
     end = start + int(fields["content-length"])
-    if end + len(END) > len(data) or bytes(data[end:end + len(END)]) != END:
+    if end + len(END) > len(data) or data[end:end + len(END)] != END:
         raise Broken("length is wrong or the record is cut off")
-    block = bytes(data[start:end])
+    block = data[start:end]
     if (said := fields.get("warc-block-digest")) and said != f"sha1:{sha1_base32(block)}":
         raise Broken("block digest is wrong")
     out = {"fields": fields, "payload": None, "http_length": None}
@@ -162,7 +168,7 @@ def salvage(data: bytes):
                 if size != len(content):
                     raise Broken("more than one record in a member")
             else:
-                found, end = _parse(view, at)
+                found, end = _parse(data, at)
         except Broken as error:
             if bad is None:
                 bad, why = at, str(error)
@@ -221,7 +227,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def archive_pages(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes ``pages`` as archives to ``folder`` and returns what the reader finds there. *Action.*"""
+    """Writes ``pages`` as archives to ``folder`` and returns what the reader finds there;
+    a gap in what was just written is an error. *Action.*"""
     write_archives(pages, folder)
-    return read_archives(pages.sparkSession, folder, with_payload=False).filter("gap is null").select(
+    whole = F.expr("case when gap is null then true else raise_error(concat(path, ' at ', start, ': ', gap)) end")
+    return read_archives(pages.sparkSession, folder, with_payload=False).filter(whole).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

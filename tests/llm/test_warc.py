@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 
+import pytest
+
 from mirrorfold.llm import warc
 from mirrorfold.session import scratch
 
@@ -82,3 +84,23 @@ def test_gaps_are_returned(spark, tmp_path):
 
 def test_empty(spark):
     assert warc.archive_pages(pages(spark).limit(0), scratch(spark, "w") + "/a").count() == 0
+
+
+def test_long_headers(spark):
+    rows = [(1, "data:text/plain," + "x" * 70_000, "long"), (2, "http://a/" + "é" * 12_000, "bytes"), (3, "u", "long"), (4, None, "z")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    folder = scratch(spark, "w") + "/a"
+    found = warc.archive_pages(df, folder).collect()
+    assert {r["page_id"]: r["payload_bytes"] for r in found} == {1: 4, 2: 5, 3: 4, 4: 1}
+    uris = {r["page_id"]: r["target_uri"] for r in warc.read_archives(spark, folder).collect()}
+    assert uris[1] == rows[0][1] and uris[2] == "http://a/" + "%C3%A9" * 12_000
+    plain = warc.record(1, rows[0][1], b"p", 1, False, warc.sha1_base32(b"p"), 1)
+    assert [r["payload"] for r, *_ in warc.salvage(plain + b"WARC/1.1\r\nno name" + plain) if r] == [b"p", b"p"]
+
+
+def test_new_archive_with_a_gap_fails(spark, monkeypatch):
+    right = warc.record
+    monkeypatch.setattr(warc, "write_archives", lambda pages, folder: spark.createDataFrame(
+        [(right(1, "u", b"p", 1, False, warc.sha1_base32(b"p"), 1)[:-9].decode(),)], "value string").write.text(folder))
+    with pytest.raises(Exception, match="cut off|record"):
+        warc.archive_pages(pages(spark), scratch(spark, "w") + "/a").collect()
