@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mirrorfold.llm import (
-    boosted_trees, bpe, chat, decontamination, fuzzy_passages, quality_rules, secret_scan, sharding, simhash, warc)
+    boosted_trees, bpe, chat, decontamination, fuzzy_passages, merkle, packing, periodic, quality_rules, secret_scan, sharding,
+    simhash, warc)
 from mirrorfold.llm.common import table
 from mirrorfold.session import scratch
 
@@ -155,3 +156,95 @@ select conv_id, count(*) as n_turns,
     sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
     cast(sum(n) as bigint) as formatted_chars
 from marked group by conv_id"""
+
+
+@query
+def op11_best_fit_packing(spark, folder):
+    packed = packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query
+def op12_merkle_manifest(spark, folder):
+    docs = table(spark, folder, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    changed = merkle.digest_of([F.col(f) for f in fields[:-1]] + [tampered])
+    rows = merkle.manifest(docs, fields, carried={"changed": changed})
+    folded = merkle.fold(F.col("changed"), F.col("path"))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+                       folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+# Levels of each part's tree, then every leaf walks up its part's tree and the tree of parts.
+ORACLE["op12_merkle_manifest"] = r"""
+with recursive
+noted as (
+    select row_number() over () as r, doc_id, source, text,
+        coalesce(strlen(doc_id::varchar) || ':' || doc_id::varchar, '-') || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars::varchar, '-') as head,
+        xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+            lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))),
+            4294967295) as crc
+    from documents),
+changed as (select *, case when crc % 2 = 0 then replace(text, chr(10), '') else text end as other from noted),
+leaves as (
+    select r, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+        sha256(head || coalesce(strlen(other) || ':' || other, '-')) as changed from changed),
+placed as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as place from leaves),
+tree(source, level, nodes) as (
+    select source, 0, list(leaf order by place) from placed group by source
+    union all
+    select source, level + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')))
+    from tree where len(nodes) > 1),
+subs as (select source, nodes[1] as subroot, row_number() over (order by source nulls first) - 1 as spot from tree where len(nodes) = 1),
+top(level, nodes) as (
+    select 0, list(subroot order by spot) from subs
+    union all
+    select level + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')))
+    from top where len(nodes) > 1),
+walk(r, source, place, level, node, proof, done) as (
+    select r, source, place, 0, changed, '', false from placed
+    union all
+    select r, w.source, place // 3, w.level + 1,
+        case when len(nodes) = 1 then node else sha256(array_to_string(nodes[place - place % 3 + 1:place], '') || node
+            || array_to_string(nodes[place + 2:place - place % 3 + 3], '')) end,
+        case when len(nodes) = 1 then proof else proof || array_to_string(nodes[place - place % 3 + 1:place], '')
+            || array_to_string(nodes[place + 2:place - place % 3 + 3], '') end,
+        len(nodes) = 1
+    from walk w join tree t on t.source is not distinct from w.source and t.level = w.level where not done),
+climb(r, place, level, node, proof, done) as (
+    select r, spot, 0, node, proof, false from walk w join subs on subs.source is not distinct from w.source where done
+    union all
+    select r, place // 3, c.level + 1,
+        case when len(nodes) = 1 then node else sha256(array_to_string(nodes[place - place % 3 + 1:place], '') || node
+            || array_to_string(nodes[place + 2:place - place % 3 + 3], '')) end,
+        case when len(nodes) = 1 then proof else proof || array_to_string(nodes[place - place % 3 + 1:place], '')
+            || array_to_string(nodes[place + 2:place - place % 3 + 3], '') end,
+        len(nodes) = 1
+    from climb c join top t on t.level = c.level where not done)
+select doc_id, leaf, subroot, nodes[1] as root, sha256(proof) as proof_sha256, node as folded_root, node = nodes[1] as verified
+from climb join placed using (r) join subs on subs.source is not distinct from placed.source
+join top on len(nodes) = 1 where done"""
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """One text in ten, by its id, turned into a period repeated to its end."""
+    hashed = docs.withColumn("_h", F.crc32(F.col("doc_id").cast("string"))).withColumn(
+        "_w", F.when(F.col("_h") % 10 == 0, F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')")))
+    hashed = hashed.withColumn("_g", F.expr("_h div 10")).withColumn("_a", F.expr("cast(if(size(_w) > 0, _g % size(_w), 0) as int)"))
+    hashed = hashed.withColumn("_p", F.expr("cast(1 + (size(_w) - _a) div (3 + _g % 8) as int)"))
+    planted = F.expr("array_join(transform(_w, (w, i) -> if(i < _a, w, _w[_a + (i - _a) % _p])), ' ')")
+    return hashed.withColumn("text", F.when(F.expr("_h % 10 = 0 and size(_w) > 0"), planted).otherwise(F.col("text"))).select(*docs.columns)
+
+
+@query
+def op13_periodic_runs(spark, folder):
+    docs = with_planted_runs(table(spark, folder, "documents").select("doc_id", "text"))
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as start, -r.period as period)))")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return periodic.periodic_runs(docs).withColumn("_best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.start")).alias("start"),
+        F.col("_best.length").alias("length"), (-F.col("_best.period")).alias("period"),
+        F.expr("1000 * _best.length div -_best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
