@@ -5,6 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from mirrorfold.functions.payload import try_field
+from mirrorfold.operators.merge import DELETED
+
+#: Which operations an account has: the operations' own key turned round.
+OWNED = T.StructType([T.StructField("account_id", T.StringType()), T.StructField("id", T.StringType())])
+
+
+def owned_delta(before: DataFrame, delta: DataFrame) -> DataFrame:
+    """Pairs of account and operation that a change of operations ends or begins,
+    with ``_deleted``. ``before`` holds at least the changed rows of the old table."""
+    old = before.join(delta.select("id"), "id", "left_semi").select("account_id", "id")
+    new = delta.filter(~F.col(DELETED)).select("account_id", "id")
+    return (old.withColumn("_n", F.lit(-1)).unionByName(new.withColumn("_n", F.lit(1))).groupBy("account_id", "id")
+            .agg(F.sum("_n").alias("_n")).filter("_n <> 0").select("account_id", "id", (F.col("_n") < 0).alias(DELETED)))
+
+
+def merge_owned(owned: DataFrame, delta: DataFrame) -> DataFrame:
+    kept = owned.join(delta.filter(DELETED).select("account_id", "id"), ["account_id", "id"], "left_anti")
+    return kept.unionByName(delta.filter(~F.col(DELETED)).select("account_id", "id"))
 
 
 def _of(log: DataFrame, table: str) -> DataFrame:
@@ -37,8 +55,9 @@ def new_parents(log: DataFrame) -> DataFrame:
 
 def affected_operations(pre: dict[str, DataFrame], log: DataFrame) -> DataFrame:
     """Distinct operations whose report row may change. ``pre`` are the mirrors
-    *before* the change set is merged."""
-    return (operations_of_accounts(pre["operations"], log)
+    *before* the change set is merged; of them, the operations of changed
+    accounts (``owned``, where it is kept) and changed transactions are read."""
+    return (operations_of_accounts(pre.get("owned", pre["operations"]), log)
             .unionByName(changed_operations(log))
             .unionByName(old_parents(pre["transactions"], log))
             .unionByName(new_parents(log)).distinct())

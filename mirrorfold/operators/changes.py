@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mirrorfold.functions.text import is_uuid, normal_id, utf8_bytes
 from mirrorfold.operators.ordered import values_before
@@ -11,6 +11,7 @@ from mirrorfold.operators.ordered import values_before
 ENVELOPE_BYTES = 128
 TXN = ["source", "commit_pos"]
 MARKS = ("commit", "heartbeat")
+READY = "_ready"
 # A marker made here sorts behind all rows of its transaction.
 END_SEQ = 2**31 - 1
 
@@ -118,7 +119,13 @@ def transactions(log: DataFrame) -> DataFrame:
 
 def committed_only(log: DataFrame, pending: DataFrame | None = None,
                    checkpoints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Splits into ``(ready, still_open)``; both keep the envelope columns.
+    """Splits into ``(ready, still_open)`` by :func:`with_ready`; both keep the envelope columns."""
+    judged = with_ready(log, pending, checkpoints)
+    return judged.filter(READY).select(*log.columns), judged.filter(~F.col(READY)).select(*log.columns)
+
+
+def with_ready(log: DataFrame, pending: DataFrame | None = None, checkpoints: DataFrame | None = None) -> DataFrame:
+    """All messages, old open ones and new, with ``_ready``: whether their transaction may be applied.
 
     A transaction is ready when its marker is there, all the rows that the
     marker counts are there, and the chain of markers leads from it to the
@@ -144,31 +151,51 @@ def committed_only(log: DataFrame, pending: DataFrame | None = None,
     is_ready = F.col("_floor").isNull() | (F.col("commit_pos") < F.col("_floor"))
     # A row takes the time of its commit marker. Every transaction below the
     # floor has one, and markers are few next to rows.
-    stamped = (floored.filter(is_ready).drop("_floor").join(commit_markers(everything), TXN, "left")
-               .withColumn("commit_ts", F.coalesce("_commit_ts", "commit_ts"))
-               .select(*log.columns))
-    return stamped, floored.filter(~is_ready).select(*log.columns)
+    return (floored.withColumn(READY, is_ready).drop("_floor").join(commit_markers(everything), TXN, "left")
+            .withColumn("commit_ts", F.when(F.col(READY), F.coalesce("_commit_ts", "commit_ts")).otherwise(F.col("commit_ts")))
+            .select(*log.columns, READY))
+
+
+def is_outside() -> Column:
+    """A row without a position or sequence number, or a marker without a position."""
+    return F.col("commit_pos").isNull() | (F.col("seq").isNull() & F.coalesce(F.col("kind") == "row", F.lit(False)))
 
 
 def rows_outside(log: DataFrame) -> DataFrame:
-    """Rows without a position or sequence number, and markers without a position."""
-    return log.filter(F.col("commit_pos").isNull() | (F.col("seq").isNull() & (F.col("kind") == "row")))
+    return log.filter(is_outside())
+
+
+def conflicting_rows(log: DataFrame) -> DataFrame:
+    """Different rows under one position and number, in the form of :func:`transaction_faults`.
+    Equal ones are copies that a file or topic delivered twice."""
+    told = [c for c in ("table_name", "action", "row_id", "old_row_id") if c in log.columns]
+    body = [F.to_json("payload")] if "payload" in log.columns else []
+    digest = F.xxhash64(*told, *body)
+    twice = (log.filter("kind = 'row' and commit_pos is not null and seq is not null").groupBy(*TXN, "seq")
+             .agg(F.min(digest).alias("_a"), F.max(digest).alias("_b"), F.count(F.lit(1)).alias("_n")).filter("_a <> _b"))
+    return twice.groupBy(*TXN).agg(F.lit("conflicting_rows").alias("fault"), F.sum("_n").alias("messages"))
 
 
 def transaction_faults(log: DataFrame, checkpoints: DataFrame | None = None) -> DataFrame:
     """Messages that break the transaction protocol: ``(source, commit_pos, fault, messages)``.
 
     With ``checkpoints``, markers that do not prove their transaction whole
-    and in its place are faults too.
+    and in its place are faults too. A marker that names none before it says that
+    the log starts there: only the first transaction of a source may, and only
+    while its checkpoint is the start of the log.
     """
     per_txn = transactions(log.filter(F.col("commit_pos").isNotNull()))
     found = [F.when(F.col("_ends") > 1, F.lit("conflicting_commit")),
              F.when(F.col("_last") > F.col("_end"), F.lit("row_after_commit")),
              F.when(F.col("_have") > F.col("_want"), F.lit("rows_beyond_count"))]
     if checkpoints is not None:
-        per_txn = per_txn.join(F.broadcast(checkpoints.select("source", "position")), "source", "left")
+        # One row per source.
+        first = per_txn.groupBy("source").agg(F.min("commit_pos").alias("_first"))
+        per_txn = per_txn.join(F.broadcast(checkpoints.select("source", "position")), "source", "left").join(
+            F.broadcast(first), "source", "left")
         found += [F.when(F.col("_marked") & F.col("_want").isNull(), F.lit("marker_without_count")),
-                  F.when(F.col("_marked") & F.col("_prev").isNull() & (F.col("position") > 0), F.lit("marker_without_chain")),
+                  F.when(F.col("_marked") & F.col("_prev").isNull() & (
+                      (F.col("position") > 0) | (F.col("commit_pos") > F.col("_first"))), F.lit("marker_without_chain")),
                   F.when(F.col("_marked") & (F.col("_prev") >= F.col("commit_pos")), F.lit("marker_without_chain"))]
     faults = per_txn.select(*TXN, F.explode(F.array_distinct(F.array_compact(F.array(*found)))).alias("fault"), "messages")
     outside = rows_outside(log).groupBy(*TXN).agg(F.count(F.lit(1)).alias("messages"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field as _field
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from mirrorfold.contracts import BY_NAME, SOURCES, Contract
 from mirrorfold.errors import Refused
@@ -127,20 +127,24 @@ def payload_violations(log: DataFrame, contract: Contract) -> DataFrame:
             .filter(F.size("problems") > 0))
 
 
-def domain_violations(log: DataFrame) -> DataFrame:
-    """Log rows with an unknown source, kind, action or table, as ``problem`` counts."""
+def domain_problem() -> Column:
+    """What is wrong with a log row: an unknown source, kind, action or table; null where nothing is."""
     is_row = F.col("kind") == "row"
     known = F.lit(False)
     for source in SOURCES:
         names = [c.name for c in BY_NAME.values() if c.source == source]
         known = known | ((F.col("source") == source) & F.col("table_name").isin(names))
-    problem = (F.when(~F.col("source").isin(*SOURCES) | F.col("source").isNull(), "unknown_source")
+    return (F.when(~F.col("source").isin(*SOURCES) | F.col("source").isNull(), "unknown_source")
                .when(~F.col("kind").isin(*KINDS) | F.col("kind").isNull(), "unknown_kind")
                .when(is_row & (~F.col("action").isin(*ACTIONS) | F.col("action").isNull()), "unknown_action")
                .when(is_row & ~F.coalesce(known, F.lit(False)), "unsupported_relation")
                .when(is_row & F.col("row_id").isNull(), "missing_id")
                .when(F.col("kind") == "truncate", "truncate"))
-    return (log.withColumn("problem", problem).filter(F.col("problem").isNotNull())
+
+
+def domain_violations(log: DataFrame) -> DataFrame:
+    """Log rows with a :func:`domain_problem`, as counts."""
+    return (log.withColumn("problem", domain_problem()).filter(F.col("problem").isNotNull())
             .groupBy("problem", "source", "table_name").agg(F.count(F.lit(1)).cast("bigint").alias("rows")))
 
 

@@ -43,8 +43,11 @@ def transaction_touches(transactions: DataFrame, log: DataFrame) -> DataFrame:
             .select(F.lit(THROUGH_TRANSACTION).alias("kind"), "key", "commit_ts"))
 
 
-def new_touches(pre: dict[str, DataFrame], log: DataFrame) -> DataFrame:
-    touched = direct_touches(log).unionByName(transaction_touches(pre["transactions"], log))
+def new_touches(pre: dict[str, DataFrame], log: DataFrame, transactions: bool = True) -> DataFrame:
+    """Touches of a log; ``transactions`` says whether it may change any."""
+    touched = direct_touches(log)
+    if transactions:
+        touched = touched.unionByName(transaction_touches(pre["transactions"], log))
     return touched.groupBy(*KEY).agg(F.max("commit_ts").alias("last_commit_ts"))
 
 

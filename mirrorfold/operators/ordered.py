@@ -21,8 +21,16 @@ RANGE = "_range"
 
 def in_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
     """Action. ``df`` staged in ranges that follow ``order``, with their number.
-    Equal values of ``order`` share a range; nulls come first, as in a window."""
-    ranges = ranges or max(1, -(-df.count() // RANGE_ROWS))
+    Equal values of ``order`` share a range; nulls come first, as in a window.
+
+    Without ``ranges`` the frame is staged once before and counted there, so it
+    is computed once; what fits one range stays as it was staged.
+    """
+    if ranges is None:
+        df = cut_lineage(df)
+        ranges = max(1, -(-df.count() // RANGE_ROWS))
+        if ranges == 1:
+            return df.withColumn(RANGE, F.lit(0))
     return cut_lineage(df.repartitionByRange(ranges, *order).withColumn(RANGE, F.spark_partition_id()))
 
 

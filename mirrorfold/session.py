@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +21,8 @@ RECOMMENDED = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+THREADS = 6  # jobs of one batch that run side by side
+
 
 def build_session(app: str = "mirrorfold", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -57,3 +61,11 @@ def cut_lineage(df):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def together(tasks: dict[str, Callable[[], object]]) -> dict[str, object]:
+    """Action. Runs jobs that do not need each other side by side, and gives
+    what each returned. Where some fail, the first of them in order is raised."""
+    with ThreadPoolExecutor(THREADS) as pool:
+        running = {name: pool.submit(task) for name, task in tasks.items()}
+        return {name: run.result() for name, run in running.items()}

@@ -10,23 +10,27 @@ published before Spark commits the batch, never after.
 from __future__ import annotations
 
 import copy
-from datetime import timezone
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from mirrorfold.contracts import ENVELOPE, MIRRORED, REPORT
+from mirrorfold.contracts import ENVELOPE
 from mirrorfold.errors import Refused
 from mirrorfold.operators.budgets import check_transactions
 from mirrorfold.operators.changes import (
-    after_checkpoint, committed_only, counted_bytes, distinct_changes, rows_outside, transaction_faults)
-from mirrorfold.operators.checks import SourceDescriptor, guard_position
+    MARKS, READY, after_checkpoint, conflicting_rows, counted_bytes, distinct_changes, is_outside, rows_outside, split_key_changes,
+    transaction_faults, with_ready)
+from mirrorfold.operators.checks import SourceDescriptor, domain_problem, guard_position
 from mirrorfold.operators.progress import advance, batch_progress
-from mirrorfold.plans.apply import State, apply_batch, guard_log
-from mirrorfold.plans.lifecycle import batch_facts, checkpoints_frame, require_binding, utc_now, write_facts
+from mirrorfold.plans.apply import changes_of, guard_log
+from mirrorfold.plans.lifecycle import (
+    as_time, batch_facts, checkpoints_frame, open_metrics, open_since, require_binding, utc_now, write_facts)
+from mirrorfold.plans.stored import StoredTables
+from mirrorfold.session import together
 from mirrorfold.settings import Limits
 from mirrorfold.sources.changelog import read_change_log
-from mirrorfold.sources.store import FRAMES, Store
+from mirrorfold.sources.store import Store
 
 
 def guard_start(store: Store, descriptors: dict[str, SourceDescriptor], limits: Limits) -> dict:
@@ -47,68 +51,87 @@ def sync_batch(store: Store, messages: DataFrame, limits: Limits) -> dict:
     manifest = store.require()
     if manifest["working"]:
         raise Refused("window_open", "a window is staged; drain it before streaming")
-    # Staged once: parsed, counted, durable, and read back by every step below.
-    _, log = store.keep("log", counted_bytes(messages.select(*ENVELOPE.fieldNames())))
-    guard_log(log)
-    outside = rows_outside(log).first()
-    if outside is not None:
-        raise Refused("row_outside_transaction", f"a message of {outside['source']} has no position or number")
+    before = manifest["published"]["checkpoints"]
+    # Staged once: parsed, counted, durable, and read back by every step below. What would be
+    # refused is counted on that one write; only a log that has any is looked at again.
+    count = lambda condition: F.count(F.when(condition, 1))
+    starts = [(s, c["position"], c["log_start"]) for s, c in before.items() if c.get("log_start") is not None]
+    too_early = F.lit(False)
+    for source, position, start in starts:
+        too_early |= (F.col("source") == source) & (F.col("commit_pos") < start)
+    _, log, seen = store.keep("log", counted_bytes(messages.select(*ENVELOPE.fieldNames())), {
+        "problems": count(domain_problem().isNotNull()), "outside": count(is_outside()), "early": count(too_early),
+        "strangers": count(~F.col("source").isin(*before)) if before else F.count(F.lit(1))})
+    if seen["problems"]:
+        guard_log(log)
+    if seen["outside"]:
+        raise Refused("row_outside_transaction", f"a message of {rows_outside(log).first()['source']} has no position or number")
+    if seen["strangers"]:
+        unknown = log.filter(~F.col("source").isin(*before) if before else F.lit(True)).select("source").first()
+        raise Refused("no_snapshot", f"{unknown['source']} has no snapshot; load it first")
+    if seen["early"]:
+        raise Refused("before_log_start", "a transaction lies before the one that was said to start its log; resnapshot")
     checkpoints = checkpoints_frame(store, manifest)
-    known = set(manifest["published"]["checkpoints"])
-    strangers = log.filter(~F.col("source").isin(*known) if known else F.lit(True)).select("source").first()
-    if strangers is not None:
-        raise Refused("no_snapshot", f"{strangers['source']} has no snapshot; load it first")
-    fresh = distinct_changes(after_checkpoint(log, checkpoints))
     waiting = store.pending(manifest)
-    fault = transaction_faults(
-        fresh if waiting is None else distinct_changes(waiting.unionByName(fresh)), checkpoints).first()
-    if fault is not None:
-        raise Refused(fault["fault"], f"transaction {fault['commit_pos']} of {fault['source']}")
-    ready, still_open = committed_only(fresh, waiting, checkpoints)
-    _, ready = store.keep("ready", ready)
-    pending_path, still_open = store.keep("pending", still_open)
-    check_transactions(still_open, limits)
-    before = manifest["published"]["checkpoints"]
+    above = after_checkpoint(log, checkpoints)
+    everything = above if waiting is None else waiting.unionByName(above)
+    fresh = distinct_changes(above)
+    whole = distinct_changes(everything)
+
+    def guard_transactions() -> None:
+        fault = transaction_faults(whole, checkpoints).unionByName(conflicting_rows(everything)).first()
+        if fault is not None:
+            raise Refused(fault["fault"], f"transaction {fault['commit_pos']} of {fault['source']}")
+
+    # The new messages and those left open before, written once with what may be applied of them.
+    done = F.col(READY)
+    watched = {**open_metrics(before, ~done), "names": F.collect_set(F.when(done & (F.col("kind") == "row"), F.col("table_name"))),
+               **{f"start_{s}": F.min(F.when(done & (F.col("source") == s) & F.col("kind").isin(*MARKS) & F.col("prev_pos").isNull(),
+                                             F.col("commit_pos"))) for s in before}}
+    _, judged, seen = together({
+        "guard": guard_transactions, "budget": lambda: check_transactions(whole, limits),
+        "judged": lambda: store.keep("judged", with_ready(fresh, waiting, checkpoints), watched)})["judged"]
+    ready = judged.filter(READY).drop(READY)
     # One row per source.
     moved = {r["source"]: r for r in advance(checkpoints, batch_progress(ready)).collect()}
     ahead = {s: r for s, r in moved.items() if r["position"] > before[s]["position"]}
-    pending_rows = store.rows_in(pending_path)
-    open_now = {"pending": pending_path if pending_rows else None, "pending_rows": pending_rows}
+    pending_rows, pending_path = seen["rows"], None
+    if pending_rows:
+        pending_path, _, _ = store.keep("pending", judged.filter(~done).drop(READY))
+    open_now = {"pending": pending_path, "pending_rows": pending_rows, "open": open_since(manifest, seen)}
+    _check_waiting(open_now["open"], limits)
     published = copy.deepcopy(manifest["published"])
     if any(r["rows_applied"] > before[s]["rows_applied"] for s, r in ahead.items()):
-        _apply(store, manifest, published, ready, checkpoints, limits)
+        _apply(store, published, ready, sorted(seen["names"]), limits)
+    begun = {s: seen[f"start_{s}"] for s in before if seen[f"start_{s}"] is not None}
     for source, now in ahead.items():
         published["checkpoints"][source] = {
             **before[source], "applied_at": utc_now(), "last_commit_at": _iso(now["last_commit_at"]),
-            **{k: now[k] for k in ("position", "rows_applied", "batches_applied")}}
+            **{k: now[k] for k in ("position", "rows_applied", "batches_applied")},
+            **({"log_start": begun[source]} if source in begun else {})}
     if not ahead and pending_rows == manifest.get("pending_rows", 0):
         return manifest
     return store.publish(manifest["version"], {**manifest, **open_now, "published": published})
 
 
+def _check_waiting(waiting: dict, limits: Limits) -> None:
+    """Refuses a transaction that has been open for longer than allowed."""
+    for source, first in waiting.items():
+        age = (datetime.now(timezone.utc) - as_time(first["since"])).total_seconds()
+        if limits.open_seconds is not None and age > limits.open_seconds:
+            raise Refused("transaction_open", f"transaction {first['position']} of {source} has waited for {age:.0f} s")
+
+
 def _iso(value) -> str | None:
     # Spark hands timestamps out in the driver's zone; the manifest keeps UTC.
     return value.astimezone(timezone.utc).isoformat() if value else None
 
 
-def _apply(store: Store, manifest: dict, published: dict, ready: DataFrame, checkpoints: DataFrame,
-           limits: Limits) -> None:
-    """Applies ``ready`` on the pinned manifest and records the new files."""
-    paths: dict[str, str] = {}
-
-    def keep(label: str, df: DataFrame) -> DataFrame:
-        label = REPORT.name if label == "report" else label
-        paths[label], kept = store.keep(label, df)
-        return kept
-
-    tables = published["tables"]
-    state = State({c.name: store.table(c.name, manifest) for c in MIRRORED}, store.report(manifest),
-                  store.ledger(published["ledger"]), checkpoints)
-    applied = apply_batch(state, ready, limits, keep=keep)
-    changed = {name: paths[name] for name in (*applied.deltas, REPORT.name)}
-    for name, rows in store.rows_of(changed).items():
-        tables[name] = store.with_delta(tables[name], FRAMES[name], paths[name], rows)
-    published["ledger"] = store.with_touches(published["ledger"], paths["touches"])
+def _apply(store: Store, published: dict, ready: DataFrame, names: list[str], limits: Limits) -> None:
+    """Action. Applies ``ready`` to the tables of ``published`` and records the buckets written."""
+    tables = StoredTables(store, published["tables"])
+    rows = split_key_changes(ready.filter(F.col("kind") == "row"))
+    tables.apply(changes_of(tables, rows, names, limits, keep=lambda label, df: store.keep(label, df)[1]))
 
 
 def start_stream(spark: SparkSession, store: Store, log_paths: str | list[str], checkpoint: str, limits: Limits,
