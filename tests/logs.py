@@ -46,9 +46,10 @@ def empty_state(spark):
                  spark.createDataFrame([], CHECKPOINTS))
 
 
-def committed(rows):
-    """Adds a commit marker after every transaction, each with its rows and the position before it."""
-    counts, before, marks = Counter((r[0], r[2]) for r in rows), {}, []
+def committed(rows, start=None):
+    """Adds a commit marker after every transaction, each with its rows and the position before it;
+    ``start`` is the position before the first one of each source."""
+    counts, before, marks = Counter((r[0], r[2]) for r in rows), dict(start or {}), []
     for source, pos in sorted(counts):
         marks.append(mark(pos, source, rows=counts[source, pos], prev=before.get(source)))
         before[source] = pos

@@ -9,7 +9,7 @@ import mirrorfold.streaming.job as job
 from logs import at, committed, log_frame, mark, row
 from mirrorfold.errors import Refused
 from mirrorfold.plans.lifecycle import (
-    checkpoints_frame, descriptors_frame, load_snapshot, reconcile_store, resnapshot)
+    checkpoints_frame, descriptors_frame, load_snapshot, observe, reconcile_store, resnapshot)
 from mirrorfold.plans.views import read_store
 from mirrorfold.plans.window import drain
 from mirrorfold.operators.progress import source_status
@@ -163,6 +163,48 @@ def test_markers_without_proof_and_rows_without_place_are_refused(spark, store):
         refuses(spark, store, "row_outside_transaction", [tuple(lost)])
 
 
+def without_chain(marker):
+    return (*marker[:-1], None)
+
+
+def test_only_the_start_of_a_log_needs_no_chain(spark, tmp_path):
+    store = new_store(spark, tmp_path)
+    load_snapshot(store, frames(spark, data()), descriptors(0, 0))
+    nine = [row(9, 0, "operations", "U", "o1", amount=9), without_chain(mark(9))]
+    five = [row(5, 0, "operations", "U", "o1", description="five")]
+    refuses(spark, store, "marker_without_chain", [*nine, *five, without_chain(mark(5))])
+    refuses(spark, store, "marker_without_chain", [*nine, *five])
+    push(spark, store, nine)
+    assert financials(store) == (9, 0)
+    # an older transaction proves that the log did not start there: refused, not taken for a replay
+    refuses(spark, store, "before_log_start", [*five, without_chain(mark(5))])
+    refuses(spark, store, "before_log_start", [*five, mark(5, prev=0)])
+    refuses(spark, store, "marker_without_chain", [row(10, 0, "operations", "U", "o1", amount=1), without_chain(mark(10))])
+    assert push(spark, store, nine)["published"]["checkpoints"]["financials"]["position"] == 9
+
+
+def test_different_rows_of_one_number_are_refused(spark, store):
+    one = row(21, 0, "operations", "U", "o1", amount=1)
+    other = row(21, 0, "operations", "U", "o1", amount=2)
+    refuses(spark, store, "conflicting_rows", [one, other, mark(21)])
+    push(spark, store, [one, one])
+    refuses(spark, store, "conflicting_rows", [other, mark(21)])
+    push(spark, store, [one, mark(21), mark(21)])
+    assert financials(store) == (21, 0) and report_map(store)["o1"]["amount"] == Decimal("1.00")
+
+
+def test_a_transaction_that_stays_open_is_reported_and_refused(spark, store):
+    push(spark, store, [row(21, 0, "operations", "U", "o1", amount=1), mark(21, rows=2)])
+    seen = observe(store).first()
+    assert seen["first_open"] == {"financials": 21} and seen["longest_open_ms"] >= 0
+    since = store.manifest()["open"]["financials"]["since"]
+    push(spark, store, [row(23, 0, "operations", "U", "o1", amount=3)])
+    assert store.manifest()["open"]["financials"] == {"position": 21, "since": since}
+    refuses(spark, store, "transaction_open", [mark(23, prev=21)], Limits(open_seconds=0))
+    push(spark, store, [row(21, 1, "operations", "U", "o1", amount=2), mark(23, prev=21)])
+    assert financials(store) == (23, 0) and observe(store).first()["first_open"] == {}
+
+
 def test_own_byte_count(spark, store):
     rows = [list(row(21, n, "operations", "I", f"x{n}", account_id="A", description="d" * 200, amount=1)) for n in range(6)]
     for values in rows:
