@@ -74,7 +74,7 @@ def manifest(docs: DataFrame, fields: list[str], key: str = "doc_id", part: str
     # the parts' roots are the nodes of one more tree
     parts = running_sums(tops, ["_part"], {"_place": F.lit(1)}).select(
         F.lit(0).alias("_part"), F.col("_part").alias("_of"), "_node", F.col("_place") - 1)
-    parts = parts.toDF("_part", "_of", "_node", "_place")
+    parts = cut_lineage(parts.toDF("_part", "_of", "_node", "_place"))
     above = _climb(parts, parts.groupBy("_part").agg(F.count("*").alias("_count")))
     root = above[-1].filter(f"_count <= {BLOCK}").select("_part", F.col("_root").alias("_top"))
     ways = _rows_with_ways(_with_ways_up(above), ["_part"]).join(root, "_part").select(

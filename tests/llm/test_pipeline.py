@@ -5,10 +5,11 @@ import os
 import pytest
 
 import corpus_pipeline
-from mirrorfold.llm import bpe, decontamination, quality_rules, secret_scan, simhash
+from mirrorfold.llm import bpe, decontamination, quality_rules, secret_scan
 from mirrorfold.llm.common import table
 from mirrorfold.llm.queries import tokenizer_path
 from tests.llm.cases import documents
+from tests.llm.test_near_copies import plain_kept
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not there")
@@ -27,22 +28,10 @@ def test_stage_survives_odd_rows(spark, number):
 def test_run(spark):
     docs = table(spark, FOLDER, "documents")
     judged = {r["doc_id"] for r in quality_rules.judge(docs, table(spark, FOLDER, "labels")).filter("kept").collect()}
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in judged]
-    prints = {}
-    for i, t in sorted(rows):
-        prints.setdefault(simhash.fingerprint(t or ""), i)
-    kept, seen = [], list(prints)
-    root = {p: p for p in seen}
-    find = lambda p: p if root[p] == p else find(root[p])
-    for k, a in enumerate(seen):
-        for b in seen[k + 1:]:
-            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2:
-                root[find(b)] = find(a)
-    least = {}
-    for p, i in prints.items():
-        least[find(p)] = min(least.get(find(p), i), i)
+    rows = {r["doc_id"]: r["text"] or "" for r in docs.collect() if r["doc_id"] in judged}
+    alone = plain_kept(rows)
     leaked = {r["doc_id"] for r in decontamination.leaks(docs, table(spark, FOLDER, "benchmark")).collect()}
-    kept = {i: t for i, t in rows if i in least.values() and i not in leaked}
+    kept = {i: t for i, t in rows.items() if i in alone and i not in leaked}
     found = {r["doc_id"]: r for r in corpus_pipeline.run(spark, FOLDER).collect()}
     assert found.keys() == kept.keys()
     encoder = bpe.Encoder(bpe.Vocabulary(tokenizer_path()))
