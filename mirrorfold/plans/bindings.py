@@ -285,7 +285,8 @@ SQL = {
         cast(value as decimal(18,2)) from last_event where event_type <> 'error'""",
     "post_transactions": """select concat('t', o_orderkey) as id,
         cast(case when o_orderkey % 5 = 0 then o_orderkey + 1 else o_orderkey end as varchar) as operation_id,
-        cast(o_totalprice as decimal(18,2)) as amount from orders where o_orderkey % 7 <> 0""",
+        o_orderstatus as payment_means_id, cast(o_totalprice as decimal(18,2)) as amount, o_orderdate as occurred_at
+        from orders where o_orderkey % 7 <> 0""",
     "touches": """select 'account' as kind, row_id as key, commit_ts from account_log
         union all select 'operation', cast(user_id as varchar), ts from events
         union all select 'through_transaction', cast(o_orderkey as varchar), commit_ts from parent_log

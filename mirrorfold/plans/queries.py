@@ -7,15 +7,16 @@ same name to SQL over the raw tables that must give the same rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from mirrorfold.contracts import (
-    ACCOUNTS, ENVELOPE, LEDGER, MIRRORED, OPERATIONS, RELATIONS, TRANSACTIONS, Contract)
+    ACCOUNTS, BY_NAME, ENVELOPE, LEDGER, MIRRORED, OPERATIONS, RELATIONS, REPORT, TRANSACTIONS, Contract)
 from mirrorfold.functions.payload import has_field, try_field
 from mirrorfold.functions.positions import format_position, millis_between, parse_position
 from mirrorfold.functions.text import default_if_blank, is_blank, stable_id, trimmed, utf8_bytes, utf16_bytes
-from mirrorfold.operators import affected, budgets, changes, checks, compare, fold, ingest, latency, ledger, merge
+from mirrorfold.operators import affected, budgets, changes, checks, compare, digests, fold, ingest, latency, ledger, merge
 from mirrorfold.operators import progress, projection, readmodels
 from mirrorfold.operators.ordered import running_sums, values_before
 from mirrorfold.plans import lifecycle, window
@@ -26,7 +27,7 @@ from mirrorfold.plans.views import temporary_views
 from mirrorfold.session import cut_lineage, scratch
 from mirrorfold.settings import UNBOUNDED, Binding
 from mirrorfold.sources import changelog
-from mirrorfold.sources.snapshot import as_changes
+from mirrorfold.sources.snapshot import as_changes, snapshot
 from mirrorfold.sources.store import Store
 from mirrorfold.streaming.job import start_stream
 
@@ -97,15 +98,50 @@ def _tables(b: Bindings) -> dict[str, DataFrame]:
             "collection_orders": b.collection_orders(), "payment_means": b.payment_means()}
 
 
-@query(sql(" union all ".join(
-    f"select '{n}' as table_name, id as row_id, 'I' as action from {c}" for n, c in (
-        ("accounts", "accounts"), ("account_history", "account_history"), ("assets", "assets"),
-        ("contact_information", "contacts"), ("operations", "operations"),
-        ("collection_orders", "collection_orders"), ("payment_means", "payment_means"))),
-    "accounts", "account_history", "assets", "contacts", "operations", "collection_orders", "payment_means"))
+_FRAMES = {"accounts": "accounts", "assets": "assets", "contact_information": "contacts",
+           "account_history": "account_history", "payment_means": "payment_means", "operations": "operations",
+           "transactions": "keyed_transactions", "collection_orders": "collection_orders"}
+
+
+def cells_sql(frames: dict[str, str]) -> str:
+    """Every value of the given tables as a row, as text."""
+    return " union all ".join(
+        f"""select '{name}' as table_name, id as row_id, '{c}' as "column", cast({c} as varchar) as value from {frame}"""
+        for name, frame in frames.items() for c in BY_NAME[name].columns)
+
+
+def _cells(name: str, df: DataFrame) -> DataFrame:
+    def text(f: T.StructField):
+        value = F.col(f.name).cast("timestamp_ntz") if isinstance(f.dataType, T.TimestampType) else F.col(f.name)
+        return value.cast("string")
+
+    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), text(f).alias("value")) for f in df.schema.fields])
+    return df.select(F.lit(name).alias("table_name"), F.col(BY_NAME[name].key).alias("row_id"), F.explode(cells).alias("c")
+                     ).select("table_name", "row_id", "c.*")
+
+
+def _all_cells(tables: dict[str, DataFrame]) -> DataFrame:
+    union = None
+    for name, df in tables.items():
+        union = _cells(name, df) if union is None else union.unionByName(_cells(name, df))
+    return union
+
+
+@query(sql(cells_sql(_FRAMES), *_FRAMES.values()))
 def source_snapshot(b):
+    """Every table, written as a source keeps it and read with its contract."""
+    paths = {}
+    for name, df in _whole_sources(b).items():
+        paths[name] = scratch(b.spark, f"source-{name}")
+        df.write.parquet(paths[name])
+    return _all_cells(snapshot(b.spark, paths))
+
+
+@query(sql(" union all ".join(f"select '{n}' as table_name, id as row_id, 'I' as action from {f}" for n, f in _FRAMES.items()),
+           *_FRAMES.values()))
+def snapshot_as_changes(b):
     union = None
-    for name, df in _tables(b).items():
+    for name, df in _whole_sources(b).items():
         part = as_changes(df, name).select("table_name", "row_id", "action")
         union = part if union is None else union.unionByName(part)
     return union
@@ -169,12 +205,13 @@ def net_changes_since(b):
 
 
 @query(sql("""select case when c.id is null then 'D' when p.id is null then 'I' else 'U' end as action,
-    coalesce(p.id, c.id) as id, c.name, c.status from accounts p full join post_accounts c on p.id = c.id
-    where p.id is null or c.id is null or p.name is distinct from c.name or p.status is distinct from c.status""",
+    coalesce(p.id, c.id) as id, c.name, c.status, c.created_at from accounts p full join post_accounts c on p.id = c.id
+    where p.id is null or c.id is null or p.name is distinct from c.name or p.status is distinct from c.status
+    or p.created_at is distinct from c.created_at""",
            "accounts", "post_accounts"))
 def snapshot_diff(b):
     later = _post_accounts(b)
-    return compare.snapshot_diff(b.accounts(), later, "id", ["id", "name", "status"])
+    return compare.snapshot_diff(b.accounts(), later, "id", ACCOUNTS.columns)
 
 
 def _post_accounts(b: Bindings, log: DataFrame | None = None) -> DataFrame:
@@ -380,14 +417,13 @@ def apply_batch_report(b):
     return report.withColumn("source_account_created_at", F.col("source_account_created_at").cast("timestamp_ntz"))
 
 
-@query(sql("""select 'accounts' as table_name, id from post_accounts union all
-    select 'operations', id from post_operations union all select 'transactions', id from post_transactions""", *POST))
+_POST_FRAMES = {"accounts": "post_accounts", "operations": "post_operations", "transactions": "post_transactions"}
+
+
+@query(sql(cells_sql(_POST_FRAMES), *POST))
 def apply_batch_mirrors(b):
-    state, union = _applied(b).state, None
-    for name in ("accounts", "operations", "transactions"):
-        part = state.tables[name].select(F.lit(name).alias("table_name"), "id")
-        union = part if union is None else union.unionByName(part)
-    return union
+    state = _applied(b).state
+    return _all_cells({name: state.tables[name] for name in _POST_FRAMES})
 
 
 @query(sql("""select 'accounts' as source, max(commit_pos) as position, count(*) as rows_applied,
@@ -618,12 +654,14 @@ def orphan_report(b):
 @query(sql("""select case when m.id is null then 'only_in_source' when s.id is null then 'only_in_mirror'
     else 'differing' end as kind, coalesce(s.id, m.id) as key, case when m.id is not null and s.id is not null then
     concat_ws(',', case when s.name is distinct from m.name then 'name' end,
-    case when s.status is distinct from m.status then 'status' end) end as columns
+    case when s.status is distinct from m.status then 'status' end,
+    case when s.created_at is distinct from m.created_at then 'created_at' end) end as columns
     from post_accounts s full join accounts m on s.id = m.id
-    where m.id is null or s.id is null or s.name is distinct from m.name or s.status is distinct from m.status""",
+    where m.id is null or s.id is null or s.name is distinct from m.name or s.status is distinct from m.status
+    or s.created_at is distinct from m.created_at""",
            "accounts", "post_accounts"))
 def reconcile_diff(b):
-    return compare.reconcile(_post_accounts(b), b.accounts(), "id", ["id", "name", "status"])
+    return compare.reconcile(_post_accounts(b), b.accounts(), "id", ACCOUNTS.columns)
 
 
 RECONCILE_SQL = sql("""select 'operations' as table_name, case when m.id is null then 'only_in_source' else 'only_in_mirror'
@@ -650,15 +688,16 @@ def reconcile_summary(b):
         source, b.operations(), "id", OPERATIONS.columns)})
 
 
-@query("""with l as (select l_partkey % 100 as k, count(*) as n from lineitem where l_returnflag = 'A' group by 1),
-    r as (select l_partkey % 100 as k, count(*) as n from lineitem where l_returnflag = 'N' group by 1)
-    select coalesce(l.k, r.k) as k, case when coalesce(l.n, 0) > coalesce(r.n, 0) then 'left' else 'right' end as side,
-    abs(coalesce(l.n, 0) - coalesce(r.n, 0)) as copies from l full join r on l.k = r.k
-    where coalesce(l.n, 0) <> coalesce(r.n, 0)""")
+# Lines of two versions of a table without a key: in the second, large orders are gone and discounted lines twice.
+@query("""select l.*, case when n > 0 then 'left' else 'right' end as side, cast(abs(n) as bigint) as copies from (
+    select l, sum(n) as n from (select l, 1 as n from lineitem l union all
+    select l, -1 from lineitem l, range(2) t(i) where l_quantity <= 45 and (i = 0 or l_discount = 0.05)) group by l) x
+    where n <> 0""")
 def multiset_difference(b):
-    keyed = b.raw("lineitem").select("l_returnflag", (F.col("l_partkey") % 100).alias("k"))
-    return compare.multiset_difference(keyed.filter("l_returnflag = 'A'").select("k"),
-                                       keyed.filter("l_returnflag = 'N'").select("k"))
+    lines = b.raw("lineitem")
+    small = lines.filter("l_quantity <= 45")
+    later = small.unionByName(small.filter("l_discount = 0.05"))
+    return compare.multiset_difference(*digests.narrowed_rows(lines, later))
 
 
 # read models
@@ -1106,28 +1145,54 @@ def streamed_checkpoints(b):
     return lifecycle.checkpoints_frame(store, store.require()).select("source", "position", "rows_applied")
 
 
-@query(sql(report_sql("post_operations", "accounts", "keyed_transactions"), "accounts", "post_operations",
-           "keyed_transactions"))
+def _later_sources(b: Bindings) -> dict[str, DataFrame]:
+    """The sources after the mixed log: accounts, operations and transactions have changed."""
+    later = _post_tables(b, cut_lineage(b.mixed_log()))
+    return _whole_sources(b) | {name: df.select(*[F.col(f.name).cast(f.dataType).alias(f.name)
+                                                  for f in BY_NAME[name].schema.fields]) for name, df in later.items()}
+
+
+@query(sql(report_sql("post_operations", "post_accounts", "post_transactions"), *POST))
 def windowed_report(b):
-    """A first window of whole tables, then a window of what changed since."""
+    """A first window of whole tables, then a window of what changed in three of them, drained in bounded steps."""
     store = _store(b, "windowed")
-    sources = _whole_sources(b)
-    window.drain(store, sources, _descriptors(0), UNBOUNDED)
-    sources["operations"] = merge.merge_full(b.operations(), _whole_rows(b), OPERATIONS)
-    window.drain(store, sources, _descriptors(1), UNBOUNDED)
+    window.drain(store, _whole_sources(b), _descriptors(0), UNBOUNDED)
+    opened = window.capture_window(store, _later_sources(b), _descriptors(1), UNBOUNDED)
+    # Two steps for the rows, and as many as their fan-out takes.
+    step = replace(UNBOUNDED, batch_rows=-(-opened["working"]["staged_rows"] // 2))
+    while window.apply_step(store, step):
+        pass
     return _wall(store.report())
 
 
-@query(sql("""select 'accounts' as table_name, count(*) as rows from accounts
-    union all select 'operations', count(*) from operations
-    union all select 'transactions', count(*) from keyed_transactions
-    union all select 'account_history', count(*) from account_history
-    union all select 'account_operations', count(*) from operations""",
-           "accounts", "operations", "keyed_transactions", "account_history"))
+def _changed_sql(name: str, post: str, pre: str) -> str:
+    """How many rows of a table a window stages."""
+    values = " or ".join(f"p.{c} is distinct from c.{c}" for c in BY_NAME[name].values)
+    return f"""(select count(*) from {post} p full join {pre} c on p.id = c.id
+        where p.id is null or c.id is null or {values})"""
+
+
+STAGED_SQL = " + ".join(_changed_sql(name, post, _FRAMES[name]) for name, post in _POST_FRAMES.items())
+
+
+@query(sql(f"""select r.*, cast((n - 10) as bigint) as staged_rows from (
+    {report_sql(transactions="keyed_transactions")}) r, (select {STAGED_SQL} as n) s""",
+           "accounts", "operations", "keyed_transactions", *POST))
+def half_way_window(b):
+    """What readers see, and what is staged, after a first step of ten rows: the report of the window before."""
+    store = _store(b, "half-way")
+    window.drain(store, _whole_sources(b), _descriptors(0), UNBOUNDED)
+    window.sync(store, _later_sources(b), _descriptors(1), replace(UNBOUNDED, batch_rows=10))
+    staged = lifecycle.observe(store).first()["staged_rows"]
+    return _wall(store.report()).withColumn("staged_rows", F.lit(staged).cast("bigint"))
+
+
+@query(sql(" union all ".join(f"select '{n}' as table_name, count(*) as rows from {f}" for n, f in (
+    *_FRAMES.items(), ("account_operations", "operations"))), *_FRAMES.values()))
 def table_cardinalities(b):
     """Counts as the store's observation gives them, without a scan."""
     store = _store(b, "observed")
     lifecycle.load_snapshot(store, _whole_sources(b), _descriptors(0))
-    names = ("accounts", "operations", "transactions", "account_history", "account_operations")
+    names = [c.name for c in (*MIRRORED, REPORT)]
     each = F.array(*[F.struct(F.lit(n).alias("table_name"), F.col(n).alias("rows")) for n in names])
     return lifecycle.observe(store).select(F.explode(each).alias("r")).select("r.*")
