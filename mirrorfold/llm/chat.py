@@ -4,9 +4,10 @@ A layout is recognised by its fingerprint: the hash of those nested field
 paths, among all paths that some mapping names, that a record has. Fields that
 no mapping names do not matter. ``LAYOUTS`` maps each fingerprint to a
 declarative mapping, which gives canonical turns, an array of (role, text).
-``canonical_turns`` takes a typed struct column, whose paths its schema gives;
-``canonical_json`` takes a column of JSON texts and hashes the paths of each
-row. Everything is made of DataFrame functions.
+``canonical_turns`` takes a typed struct column, whose paths its schema gives:
+all rows have one fingerprint. ``canonical_json`` takes a column of JSON texts
+and hashes the paths of each row; a field counts if any element of its list
+has it. Everything is made of DataFrame functions.
 
 The template marks where a turn starts, where its text starts and where it
 ends. A control string inside a role or text gets a backslash behind its first
@@ -25,6 +26,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 TURNS = "array<struct<role: string, text: string>>"
@@ -78,8 +80,13 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(paths, "\n"))
 
 
-def layout_fingerprint(name: str) -> Column:
-    return fingerprint(F.array(*[F.lit(p) for p in sorted(set(LAYOUTS[name].paths()))]))
+def paths_fingerprint(paths: list[str]) -> int:
+    """The same hash of paths that are known before any row is read, those of a schema or a layout."""
+    found = "\n".join(sorted(set(paths) & set(KNOWN_PATHS)))
+    return int.from_bytes(xxhash.xxh64(found.encode(), seed=42).digest(), signed=True)
+
+
+MAPPINGS = {paths_fingerprint(layout.paths()): layout for layout in LAYOUTS.values()}
 
 
 def schema_paths(kind: T.DataType, prefix: str = "") -> list[str]:
@@ -115,16 +122,14 @@ def _from_list(layout: Listed, listed: Column) -> Column:
 
 def canonical_turns(df: DataFrame, record: str, turns: str = "turns") -> DataFrame:
     """``df`` with the canonical turns of the struct column ``record``; its schema selects the mapping."""
-    have = {p for p in schema_paths(df.schema[record].dataType) if p in KNOWN_PATHS}
-    for layout in LAYOUTS.values():
-        if set(layout.paths()) != have:
-            continue
-        if isinstance(layout, Listed):
-            made = _from_list(layout, F.col(f"{record}.{layout.path}"))
-        else:
-            made = _from_fields(layout, lambda p: F.col(f"{record}.{p}").cast("string"))
-        return df.withColumn(turns, made.cast(TURNS))
-    return df.withColumn(turns, F.lit(None).cast(TURNS))
+    spec = MAPPINGS.get(paths_fingerprint(schema_paths(df.schema[record].dataType)))
+    if isinstance(spec, Listed):
+        made = _from_list(spec, F.col(f"{record}.{spec.path}"))
+    elif spec is not None:
+        made = _from_fields(spec, lambda p: F.col(f"{record}.{p}").cast("string"))
+    else:
+        made = F.lit(None)
+    return df.withColumn(turns, made.cast(TURNS))
 
 
 def canonical_json(df: DataFrame, record: str, turns: str = "turns", layout: str = "layout") -> DataFrame:
@@ -132,19 +137,24 @@ def canonical_json(df: DataFrame, record: str, turns: str = "turns", layout: str
     value = F.try_parse_json(F.col(record))
 
     def at(path: str, kind: str) -> Column:
-        return F.try_variant_get(value, "$." + path.replace("[]", "[0]"), kind)
+        return F.try_variant_get(value, f"$.{path}", kind)
+
+    def there(path: str) -> Column:
+        listed, _, name = path.partition("[].")
+        if not name:
+            return at(path, "variant").isNotNull()
+        return F.exists(at(listed, "array<variant>"), lambda x: F.try_variant_get(x, f"$.{name}", "variant").isNotNull())
 
-    paths = F.array_compact(F.array(*[F.when(at(p, "variant").isNotNull(), F.lit(p)) for p in KNOWN_PATHS]))
-    out = df.withColumn(layout, fingerprint(paths))
+    found = fingerprint(F.array_compact(F.array(*[F.when(there(p), F.lit(p)) for p in KNOWN_PATHS])))
     made = F.lit(None).cast(TURNS)
-    for name, spec in LAYOUTS.items():
+    for number, spec in MAPPINGS.items():
         if isinstance(spec, Listed):
             kind = f"array<struct<`{spec.role}`: string, `{spec.text}`: string>>"
-            found = _from_list(spec, at(spec.path, kind))
+            mapped = _from_list(spec, at(spec.path, kind))
         else:
-            found = _from_fields(spec, lambda p: at(p, "string"))
-        made = F.when(F.col(layout) == layout_fingerprint(name), found).otherwise(made)
-    return out.withColumn(turns, made)
+            mapped = _from_fields(spec, lambda p: at(p, "string"))
+        made = F.when(found == number, mapped).otherwise(made)
+    return df.withColumns({turns: made, layout: found})
 
 
 _FIRST = "([<\\[])"

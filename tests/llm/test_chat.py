@@ -56,7 +56,9 @@ RECORDS = [
     ({"instruction": "i", "output": "o"}, [("user", "i"), ("assistant", "o")]),
     ({"instruction": "i", "input": "n", "output": "o"}, [("user", "i\nn"), ("assistant", "o")]),
     ({"data": {"question": "q", "answer": "w"}}, [("user", "q"), ("assistant", "w")]),
-    ({"unknown": 1}, None), ([1], None), ({"prompt": None, "completion": "c"}, [("user", ""), ("assistant", "c")]),
+    ({"messages": [{"role": "user"}, {"role": "assistant", "content": "hi"}]}, [("user", ""), ("assistant", "hi")]),
+    ({"messages": [{"content": "q"}, {}, {"role": "assistant"}]}, [("", "q"), ("", ""), ("assistant", "")]),
+    ({"messages": []}, None), ({"messages": "text"}, None), ({"unknown": 1}, None), ([1], None), ({"prompt": None, "completion": "c"}, [("user", ""), ("assistant", "c")]),
 ]
 
 
@@ -69,6 +71,14 @@ def test_json_rows_of_mixed_layouts(spark):
         assert (r["formatted"] is None) == (expect is None)
 
 
+def test_one_fingerprint_for_schemas_and_rows(spark):
+    rows = [(i, json.dumps(x)) for i, (x, _) in enumerate(RECORDS[:9])]
+    found = chat.canonical_json(spark.createDataFrame(rows, "k int, record string"), "record").collect()
+    assert {r["k"]: r["layout"] for r in found} == {
+        i: chat.paths_fingerprint(layout.paths()) for i, layout in enumerate(chat.LAYOUTS.values())}
+    assert len(chat.MAPPINGS) == len(chat.LAYOUTS)
+
+
 @pytest.mark.parametrize("k", range(9))
 def test_typed_structs(spark, k):
     record, expect = RECORDS[k]
