@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field as _field
 from functools import reduce
 
@@ -127,6 +128,55 @@ def payload_violations(log: DataFrame, contract: Contract) -> DataFrame:
             .filter(F.size("problems") > 0))
 
 
+DRIFT = T.StructType([T.StructField(n, T.StringType()) for n in ("table_name", "field", "problem", "expected", "found")])
+_NUMBERS = (T.LongType, T.DecimalType, T.DoubleType)
+
+
+def _could_be(found: T.DataType, expected: T.DataType) -> bool:
+    """Whether JSON values of one type can be values of a contract's: numbers for
+    numbers, text for text and times, and nulls alone for all."""
+    if isinstance(found, T.NullType):
+        return True
+    if isinstance(expected, T.StringType | T.TimestampType):
+        return isinstance(found, T.StringType)
+    return isinstance(found, _NUMBERS) if isinstance(expected, _NUMBERS) else type(found) is type(expected)
+
+
+def payload_schema(log: DataFrame) -> DataFrame:
+    """``(table_name, schema)``: the one type that all payloads of a table fit, as
+    text. Mixed types of a field are ``VARIANT``. Partial types combine before
+    the shuffle; a type is as large as the field names that occur."""
+    rows = log.filter(F.col("payload").isNotNull() & F.col("table_name").isNotNull())
+    return rows.groupBy("table_name").agg(F.schema_of_variant_agg("payload").alias("schema"))
+
+
+def payload_drift(log: DataFrame, contracts: dict[str, Contract]) -> DataFrame:
+    """Fields that payloads carry and the contract does not know (``unknown``), and
+    fields whose values are not, or not all, of its type (``type``); a payload
+    that is no object, and a table without contract, are named by field ``*``.
+
+    Action: one aggregate over the log; a schema per table reaches the driver.
+    """
+    out = []
+    for name, schema in payload_schema(log).collect():
+        if name not in contracts:
+            out.append((name, "*", "unknown", "", schema))
+            continue
+        # Names are left alone: odd ones are in backticks.
+        kind = T.DataType.fromDDL(re.sub("(`[^`]*`)|OBJECT<", lambda m: m[1] or "STRUCT<", schema))
+        if not isinstance(kind, T.StructType):
+            if not isinstance(kind, T.NullType):
+                out.append((name, "*", "type", "object", kind.simpleString()))
+            continue
+        known = {f.name: f.dataType for f in contracts[name].schema.fields}
+        for f in kind.fields:
+            if f.name not in known:
+                out.append((name, f.name, "unknown", "", f.dataType.simpleString()))
+            elif not _could_be(f.dataType, known[f.name]):
+                out.append((name, f.name, "type", known[f.name].simpleString(), f.dataType.simpleString()))
+    return log.sparkSession.createDataFrame(sorted(out), DRIFT)
+
+
 def domain_problem() -> Column:
     """What is wrong with a log row: an unknown source, kind, action or table; null where nothing is."""
     is_row = F.col("kind") == "row"

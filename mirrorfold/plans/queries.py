@@ -622,6 +622,18 @@ def payload_violations(b):
             .withColumn("problem", F.concat_ws(",", "problems")).drop("problems"))
 
 
+@query("""select distinct 'operations' as table_name, d.* from events, (values
+    ('amount', 'type', 'decimal(18,2)', 'variant'), ('props', 'unknown', '', 'struct<k:bigint>'))
+    d(field, problem, expected, found) where event_type = 'purchase'""")
+def payload_drift(b):
+    """Schema of all payloads of the mixed log, in which purchases write their amount as text and carry a new field."""
+    body = F.concat(F.lit('{"id":"'), F.col("user_id").cast("string"), F.lit('","amount":"'), F.col("value").cast("string"),
+                    F.lit('","props":'), F.col("props"), F.lit("}"))
+    drifted = b.raw("events").filter("event_type = 'purchase'").select(
+        F.lit("operations").alias("table_name"), F.parse_json(body).alias("payload"))
+    return checks.payload_drift(b.mixed_log().select("table_name", "payload").unionByName(drifted), BY_NAME)
+
+
 @query(sql("""select 'unsupported_relation' as problem, 'financials' as source, event_type as table_name,
     count(*) as rows from event_log group by event_type""", "event_log"))
 def domain_violations(b):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logs import at, committed, empty_state, log_frame, report_rows, row
-from mirrorfold.contracts import ACCOUNTS, OPERATIONS, contract
+from mirrorfold.contracts import ACCOUNTS, BY_NAME, OPERATIONS, contract
 from mirrorfold.errors import Refused
 from mirrorfold.functions.decimals import fits, text_fits
 from mirrorfold.functions.positions import format_position, parse_position
@@ -182,3 +182,17 @@ def test_incomplete_rows_are_named(spark):
                                   "id string, account_id string, description string, amount decimal(18,2), _deleted boolean")
     assert [(r["id"], r["missing"]) for r in merge.incomplete_rows(delta, OPERATIONS).collect()] == [
         ("a", ["description", "amount"])]
+
+
+def test_payload_drift(spark):
+    rows = [("accounts", '{"id":"a","name":"x","created_at":"2024-01-01T00:00:00Z"}'), ("accounts", '{"id":"b","name":null}'),
+            ("accounts", None), ("operations", '{"id":"o","amount":1,"extra":{"deep":[1]}}'),
+            ("operations", '{"id":"o","amount":1.25,"description":7}'), ("operations", "null"), (None, '{"id":"n"}'),
+            ("assets", '{"id":"s","value":"1.00"}'), ("assets", '{"id":"s","value":2}'), ("payment_means", "[1]"),
+            ("transactions", '{"id":"t","OBJECT<x":1}'), ("elsewhere", '{"id":1}'), ("contact_information", '{"email":null}'),
+            ("account_history", "{}")]
+    log = spark.createDataFrame(rows, "table_name string, text string").selectExpr("table_name", "parse_json(text) as payload")
+    found = {tuple(r)[:3] for r in checks.payload_drift(log, BY_NAME).collect()}
+    assert found == {("operations", "extra", "unknown"), ("operations", "description", "type"), ("assets", "value", "type"),
+                     ("payment_means", "*", "type"), ("elsewhere", "*", "unknown"), ("transactions", "OBJECT<x", "unknown")}
+    assert checks.payload_drift(log.limit(0), BY_NAME).isEmpty()
