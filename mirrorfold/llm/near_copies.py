@@ -1,15 +1,17 @@
 """Near copies: texts whose sets of five-word shingles have Jaccard similarity 0.8 or more.
 
-Words are lower-cased (A-Z) runs without ASCII white space. A fingerprint of 64
-bits cannot select such pairs: at similarity 0.8 SimHash prints differ in some
-ten bits, and blocks short enough for that distance say nothing. Candidates
-come from prefixes of the whole sets instead, which miss none: with all
+Words are lower-cased (A-Z) runs without ASCII white space. First comes SimHash:
+every set has a print of 64 bits, prints within ``simhash.DISTANCE`` bits are
+found by blocks, and the pairs they propose are checked on their whole sets. That
+alone is not enough: at similarity 0.8 prints differ in some ten bits, and
+blocks short enough for that distance say nothing. So the pairs whose prints lie
+further apart come from prefixes of the whole sets, which miss none: with all
 shingles in one order, two sets of similarity s share one of the first
 ``n - ceil(s * n) + 1`` shingles of either. The order is from rare to common, by
 a sketch of counts of ``SLOTS`` slots over all texts, so a line that many texts
 share is in no prefix, and a text with a fifth of its own words finds no one.
 
-Texts with equal sets are one node. The nodes that share a key are compared
+Texts with equal sets are one node. The nodes that share a prefix key are compared
 with one of them, the node made of the commonest shingles, which copies with few
 changes all resemble; for ``STARS`` rounds with a new centre outside the largest
 component of the key. What a key then still holds in different components is
@@ -32,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from mirrorfold.llm import simhash
 from mirrorfold.llm.common import CHUNK, fresh, map_texts, text_or_empty
 from mirrorfold.llm.components import components
 from mirrorfold.llm.fuzzy_passages import SEED, WordHashes, _mixed
@@ -75,6 +78,10 @@ def _node(found: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64))
 
 
+def _print(found: np.ndarray) -> int:
+    return simhash.print_of(found[start:start + (1 << 16)] for start in range(0, len(found), 1 << 16))
+
+
 def _with_node(df: DataFrame, column: str, words: int = WORDS) -> DataFrame:
     """``df`` with the node of its text."""
     def make():
@@ -118,8 +125,8 @@ def shingle_counts(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 
 
 def write_keys(docs: DataFrame, folder: str, words: int = WORDS, similarity: float = SIMILARITY) -> None:
-    """Action. A head row (place -1) for every document, and for every shingle of its prefix a row
-    with the key, its place, the size of the set and how common its shingles are."""
+    """Action. A head row (place -1, the key is the print of the set) for every document, and for every
+    shingle of its prefix a row with the key, its place, the size of the set and how common its shingles are."""
     shared = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, words))
 
     def rows(ids, sets):
@@ -128,7 +135,7 @@ def write_keys(docs: DataFrame, folder: str, words: int = WORDS, similarity: flo
             ordered, n = in_order(found, counts), prefix_length(len(found), similarity)
             common = int(counts[found & np.uint64(SLOTS - 1)].mean()) if n else 0
             out[0].append(np.full(n + 1, _node(found)))
-            out[1].append(np.concatenate((np.zeros(1, np.int64), ordered[:n].view(np.int64))))
+            out[1].append(np.concatenate((np.array([_print(found)]), ordered[:n].view(np.int64))))
             out[2].append(np.arange(-1, n))
             out[3].append(np.full(n + 1, len(found)))
             out[4].append(np.full(n + 1, common))
@@ -195,14 +202,32 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
     return cut_lineage(near.join(keys, "key", "left_semi").dropDuplicates(["key", "node"]))
 
 
-def plausible(pairs: DataFrame, shared: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs that may be similar by how many of their prefix keys they share. *Action.*
-    What two sets share beyond the prefixes lies behind the prefix that ends first."""
-    mine = shared.select("key", "node", "size")
-    both = (pairs.join(mine.toDF("key", "a", "x"), "a").join(mine.toDF("key", "b", "y"), ["b", "key"])
-            .groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("k")))
+def proposed(keyed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs ``a, b`` of nodes that SimHash proposes, of sizes that allow the similarity: those of one
+    print meet its smallest node, and so do the smallest nodes of prints within ``simhash.DISTANCE`` bits. *Action.*"""
+    heads = cut_lineage(keyed.filter("place < 0").select("node", F.col("key").alias("fp"), "size").distinct())
+    first = heads.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("first"))
+    near = simhash.links(first.select("fp"))
+    met = heads.join(first, "fp").select("node", "size", F.col("first.node").alias("centre"), F.col("first.size").alias("other_size"))
+    ends = near.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
+    met = met.union(ends.select("x.node", "x.size", "y.node", "y.size"))
+    return met.filter("node <> centre").filter(_enough(similarity)).select(
+        F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
+
+
+def prefixes(shared: DataFrame) -> DataFrame:
+    """``node, size, keys``: the keys of a node that others have too. *Action.*"""
+    return cut_lineage(shared.groupBy("node", "size").agg(F.collect_list("key").alias("keys")))
+
+
+def plausible(pairs: DataFrame, mine: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs that may be similar by how many of their prefix keys they share; ``mine`` is of
+    :func:`prefixes`. *Action.* What two sets share beyond the prefixes lies behind the prefix that ends first."""
+    both = pairs.join(mine.toDF("a", "x", "i"), "a").join(mine.toDF("b", "y", "j"), "b").select(
+        "a", "b", "x", "y", F.size(F.array_intersect("i", "j")).alias("k"))
     rest = F.greatest(*[F.ceil(F.col(c) * similarity - 1e-9) - 1 for c in ("x", "y")])
-    return cut_lineage(both.filter((F.col("k") + rest) * (1 + similarity) >= (F.col("x") + F.col("y")) * (similarity - 1e-9)).select("a", "b"))
+    enough = (F.col("k") + rest) * (1 + similarity) >= (F.col("x") + F.col("y")) * (similarity - 1e-9)
+    return cut_lineage(both.filter((F.col("k") > 0) & enough).select("a", "b"))
 
 
 def asked_sets(pairs: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -242,12 +267,13 @@ def _enough(similarity: float, with_places: bool = False):
 def links(keyed: DataFrame, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Verified links ``a, b`` whose components are those of all similar pairs, from the rows
     ``node, key, place, size, common`` of all prefixes. *Action.*"""
-    shared = rows = shared_keys(keyed.filter("place >= 0").select("key", "node", "place", "size", "common"))
+    shared = shared_keys(keyed.filter("place >= 0").select("key", "node", "place", "size", "common"))
+    rows = prefixes(shared)
     typical = F.struct(F.col("common"), (-F.col("node")).alias("order"), F.col("node").alias("centre"), F.col("size").alias("other_size"))
     centres = shared.groupBy("key").agg(F.max(typical).alias("c")).select("key", "c.centre", "c.other_size")
     pair = [F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")]
     met = shared.join(centres, "key").filter("node <> centre").filter(_enough(similarity))
-    checked = plausible(met.select(*pair).distinct(), rows, similarity)
+    checked = plausible(proposed(keyed, similarity).union(met.select(*pair)).distinct(), rows, similarity)
     out = verified(checked, docs, words, similarity)
     for turn in range(STARS + 1):
         roots = components(out)

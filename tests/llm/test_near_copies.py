@@ -109,3 +109,24 @@ def test_odd_rows(spark):
     assert out.columns == docs.columns and ids.count(None) == 1 and len(ids) == len(set(ids))
     assert {0, 3, 4} <= set(ids) and not {1, 2, 5} & set(ids)
     assert near_copies.keep_one_of_each_group(docs.limit(0)).count() == 0
+
+
+def test_simhash_proposes_pairs(spark, tmp_path):
+    """Texts whose prints are equal or within two bits are pairs of the SimHash step, others are not."""
+    rng, hashes = random.Random(12), near_copies.WordHashes()
+
+    def apart(a, b):
+        return ((near_copies._print(a) ^ near_copies._print(b)) % (1 << 64)).bit_count()
+
+    words = filler(rng, 400)
+    texts = [" ".join(words), " ".join(filler(rng, 400)), " ".join(words).upper(), None, ""]
+    sets = [near_copies.shingles(hashes.of(t or "")) for t in texts]
+    nears = [" ".join([*words, f"more{i}"]) for i in range(100)]
+    near = next(t for t in nears if 0 < apart(sets[0], near_copies.shingles(hashes.of(t))) <= 2)
+    assert apart(sets[0], sets[1]) > 2 and near_copies._print(sets[4]) == 0
+    rows = list(enumerate([*texts, near]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    near_copies.write_keys(docs, str(tmp_path / "keys"))
+    found = near_copies.proposed(spark.read.parquet(str(tmp_path / "keys"))).collect()
+    nodes = sorted(near_copies._node(s) for s in (sets[0], near_copies.shingles(hashes.of(near))))
+    assert [[r["a"], r["b"]] for r in found] == [nodes]
