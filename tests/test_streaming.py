@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 import mirrorfold.streaming.job as job
 from logs import at, committed, log_frame, mark, row
 from mirrorfold.errors import Refused
+from mirrorfold.operators import changes
+from mirrorfold.operators.budgets import txn_usage
 from mirrorfold.plans.lifecycle import (
     checkpoints_frame, descriptors_frame, load_snapshot, observe, reconcile_store, resnapshot)
 from mirrorfold.plans.views import read_store
@@ -296,3 +298,20 @@ def test_status_and_log_round_trip(spark, store, tmp_path):
     got = log.selectExpr("is_variant_null(variant_get(payload, '$.note')) n",
                          "variant_get(payload, '$.amount', 'decimal(18,2)') a").first()
     assert got["n"] and got["a"] == Decimal("9999999999999999.99")
+
+
+def test_transactions_are_judged_once_without_payloads(spark, tmp_path):
+    """Copies count once, as after dropping them, and no payload is read to judge transactions."""
+    rows = committed([row(21, 0, "operations", "I", "o2", account_id="Z", description="x", amount=1), row(21, 1, "operations", "D", "o1"),
+                      row(22, 0, "operations", "D", "o2")])
+    log = changes.counted_bytes(log_frame(spark, rows))
+    log.union(log).write.parquet(str(tmp_path / "log"))
+    twice = spark.read.parquet(str(tmp_path / "log"))
+    found = changes.counted_transactions(twice)
+    plain = changes.transactions(changes.distinct_changes(twice))
+    assert sorted(found.select(*plain.columns).collect()) == sorted(plain.collect())
+    usage = {(r["source"], r["commit_pos"]): (r["rows"], r["bytes"]) for r in txn_usage(changes.distinct_changes(twice)).collect()}
+    assert {(r["source"], r["commit_pos"]): (r["_have"], r["bytes"]) for r in found.collect()} == usage
+    assert {r["copies"] for r in found.collect()} == {2}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "commit_pos" in plan and "payload" not in plan
