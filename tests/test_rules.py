@@ -196,3 +196,18 @@ def test_payload_drift(spark):
     assert found == {("operations", "extra", "unknown"), ("operations", "description", "type"), ("assets", "value", "type"),
                      ("payment_means", "*", "type"), ("elsewhere", "*", "unknown"), ("transactions", "OBJECT<x", "unknown")}
     assert checks.payload_drift(log.limit(0), BY_NAME).isEmpty()
+
+
+def test_any_row_looks_at_all_partitions_at_once(spark):
+    from mirrorfold.session import any_row
+
+    rows = spark.range(0, 400, 1, 16)
+    tracker, group = spark.sparkContext.statusTracker(), "any-row"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        assert any_row(rows.filter("id < 0")) is None
+        ran = len(tracker.getJobIdsForGroup(group))
+        assert any_row(rows.filter("id = 399"))["id"] == 399
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 1 <= ran <= 2
