@@ -175,6 +175,15 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
     return map_texts(df, make, [T.StructField(ids, T.ArrayType(T.IntegerType()))], text)
 
 
+def _texts_column(lists: pa.Array, token) -> pa.Array:
+    flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_pylist()
+    texts, at = [], 0
+    for n in offsets:
+        texts.append(b"".join(map(token, flat[at:at + n].tolist())).decode(errors="replace"))
+        at += n
+    return pa.array(texts, pa.string())
+
+
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the text that ``ids`` stand for; bytes that are no UTF-8 become U+FFFD."""
     schema, place = T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]), df.columns.index(ids)
@@ -184,22 +193,28 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                lists = part.column(place)
-                flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_pylist()
-                texts, at = [], 0
-                for n in offsets:
-                    texts.append(b"".join(map(token, flat[at:at + n].tolist())).decode(errors="replace"))
-                    at += n
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
+                yield pa.RecordBatch.from_arrays([*part.columns, _texts_column(part.column(place), token)],
                                                  names=[*part.schema.names, text])
 
     return df.mapInArrow(run, schema)
 
 
 def round_trip(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
-    """Columns of ``df`` without the text, then the ids and the decoded text."""
+    """Columns of ``df`` without the text, then the ids and the text decoded from them. Both are made
+    in one Python worker, which holds the vocabulary once."""
     ids, decoded = fresh(df, "ids"), fresh(df, "decoded")
-    return decode(encode(df, vocabulary, text, ids).drop(text), vocabulary, ids, decoded)
+
+    def make():
+        known = Vocabulary(vocabulary)
+        encoder, token = Encoder(known), known.token_bytes.__getitem__
+
+        def both(texts):
+            found = _ids_column([encoder.ids(t) for t in texts])
+            return [found, _texts_column(found, token)]
+
+        return both
+
+    return map_texts(df, make, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())], text).drop(text)
 
 
 def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -38,7 +38,7 @@ from mirrorfold.llm import simhash
 from mirrorfold.llm.common import CHUNK, fresh, map_texts, text_or_empty
 from mirrorfold.llm.components import components
 from mirrorfold.llm.fuzzy_passages import SEED, WordHashes, _mixed
-from mirrorfold.session import cut_lineage, scratch
+from mirrorfold.session import cut_lineage, scratch, small_batches
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -305,10 +305,12 @@ def keep_one_of_each_group(docs: DataFrame, words: int = WORDS, similarity: floa
     the row with the smallest id stays, of its repeats one. *Action.*"""
     node, key, rank = fresh(docs, "llm_node"), fresh(docs, "llm_key"), fresh(docs, "llm_rank")
     folder = scratch(docs.sparkSession, "near-copies")
-    write_keys(docs, folder, words, similarity)
-    keyed = docs.sparkSession.read.parquet(folder)
+    with small_batches(docs.sparkSession):  # a row holds a text, or two whole sets
+        write_keys(docs, folder, words, similarity)
+        keyed = docs.sparkSession.read.parquet(folder)
+        found = components(links(keyed, docs, words, similarity))
     nodes = keyed.filter("place < 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(keyed, docs, words, similarity)).withColumnRenamed("node", "at")
+    roots = found.withColumnRenamed("node", "at")
     rooted = nodes.join(roots, F.col("node") == F.col("at"), "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
     # A null id sorts behind all others.
     order = F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), F.col("node").alias("at"))

@@ -56,3 +56,15 @@ def test_decode_of_any_ids(spark, library):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "k int, ids array<int>")
     for r in bpe.decode(df, tokenizer_path()).collect():
         assert r["decoded"] == library.decode(lists[r["k"]] or [], skip_special_tokens=False)
+
+
+def test_round_trip_has_one_worker(spark, capsys):
+    """Encoding and decoding share a Python worker, and what it gives is what both give apart."""
+    docs = documents(spark).select("doc_id", "text")
+    path = tokenizer_path()
+    both = bpe.round_trip(docs, path)
+    both.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    apart = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    assert both.columns == apart.columns
+    assert sorted(both.collect(), key=str) == sorted(apart.collect(), key=str)

@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from mirrorfold.llm import near_copies
+from mirrorfold.session import small_batches
 from tests.llm.cases import documents
 
 
@@ -130,3 +132,15 @@ def test_simhash_proposes_pairs(spark, tmp_path):
     found = near_copies.proposed(spark.read.parquet(str(tmp_path / "keys"))).collect()
     nodes = sorted(near_copies._node(s) for s in (sets[0], near_copies.shingles(hashes.of(near))))
     assert [[r["a"], r["b"]] for r in found] == [nodes]
+
+
+def test_batches_are_small_within(spark):
+    """The setting holds while near copies are sought, also where that fails, and not after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with pytest.raises(ZeroDivisionError), small_batches(spark, 7):
+        sizes = spark.range(100, numPartitions=1).mapInArrow(lambda batches: (
+            pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n bigint").collect()
+        assert max(r["n"] for r in sizes) == 7
+        1 // 0
+    assert spark.conf.get(name) == before
