@@ -14,8 +14,9 @@ pieces by hash, level by level until one group is left; only their places
 travel for that, not their ids. Bins are numbered by level, task and order.
 
 White space parts the words of this vocabulary, which drops it, so the ids of a
-text are those of its words one after the other; each task remembers the ids
-of ``REMEMBERED`` words at most. Long texts are handled whole, one at a time.
+text are those of its words one after the other; each Python worker remembers
+the ids of ``REMEMBERED`` words at most, from task to task, and forgets those
+longer unused first. Long texts are handled whole, one at a time.
 
 Null and empty texts give the end id alone; an empty table gives no rows; rows
 with equal or null ids are packed each for itself, with their own pieces.
@@ -29,6 +30,7 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,8 +49,9 @@ REMEMBERED = 400_000
 WORD_BYTES = 200  # longer words are not remembered
 FLUSH_BYTES = 4_000_000
 
-# Letters that normalising only lowers, and closing marks that never join a letter's token.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+# Letters that normalising only lowers, and closing marks that never join a letter's token. No mark that opens
+# a special token (<) or a contraction (').
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*]*)")
 
 PIECE = [T.StructField(name, kind) for name, kind in (
     ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()),
@@ -113,37 +116,42 @@ class WordIds:
         self.merge = self.tokenizer.model.tokenize
         self.letters = dict(enumerate(byte_letters()))
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # words of before, until as many new ones are known
         self.stems: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _whole(self, word: str) -> bytes:
         return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _stem(self, stem: str) -> bytes:
-        stem = stem.lower()
-        ids = self.stems.get(stem)
-        if ids is None:
-            if len(self.stems) >= REMEMBERED:
-                self.stems.clear()
-            parts = self.merge(stem.encode().decode("latin-1").translate(self.letters))
-            ids = self.stems[stem] = struct.pack(f"<{len(parts)}I", *[p.id for p in parts])
-        return ids
-
     def _learn(self, word: bytes) -> bytes:
-        text = word.decode()
-        plain = PLAIN.fullmatch(text) if len(word) <= WORD_BYTES else None
-        if plain is None:
-            ids = self._whole(text)
-        else:
-            ids = self._stem(plain[1])
-            if plain[2]:
-                marks = self.stems.get(plain[2])
-                if marks is None:
-                    marks = self.stems[plain[2]] = self._whole(plain[2])
-                ids += marks
-        if len(word) <= WORD_BYTES:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[word] = ids
+        ids = self.older.get(word)
+        if ids is None:
+            text = word.decode()
+            if len(word) > WORD_BYTES:
+                return self._whole(text)
+            plain = PLAIN.fullmatch(text)
+            if plain is None:
+                ids = self._whole(text)
+            else:
+                stem, marks = plain.groups()
+                stem = stem.lower()
+                ids = self.stems.get(stem)
+                if ids is None:
+                    parts = self.merge(stem.encode().decode("latin-1").translate(self.letters))
+                    ids = struct.pack(f"<{len(parts)}I", *[p.id for p in parts])
+                    if len(self.stems) >= REMEMBERED:
+                        self.stems.clear()
+                    self.stems[stem] = ids
+                if marks:
+                    closing = self.marks.get(marks)
+                    if closing is None:
+                        if len(self.marks) >= REMEMBERED:
+                            self.marks.clear()
+                        closing = self.marks[marks] = self._whole(marks)
+                    ids += closing
+        if 2 * len(self.words) >= REMEMBERED:
+            self.older, self.words = self.words, {}
+        self.words[word] = ids
         return ids
 
     def __call__(self, text: str) -> bytes:
@@ -152,6 +160,12 @@ class WordIds:
         return b"".join([known(w) or learn(w) for w in text.encode().split()])
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """Those of this Python worker, so that its next task need not load and learn all again."""
+    return WordIds(path)
+
+
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
          end_id: int = END_ID, open_bins: int = OPEN_BINS, group: int = GROUP) -> DataFrame:
     """One row per piece: ``key``, piece, start, length, ids (little-endian 32-bit), sequence_id, offset. *Action.*"""
@@ -175,7 +189,7 @@ def _first_level(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, op
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
-        ids_of, bins, number = WordIds(tokenizer), OpenBins(capacity, open_bins), 0
+        ids_of, bins, number = word_ids(tokenizer), OpenBins(capacity, open_bins), 0
         rows, size, arrow = [], 0, None
 
         def flush() -> pa.RecordBatch:

@@ -34,6 +34,32 @@ def test_forgetting_words_changes_no_ids(monkeypatch):
     assert [np.frombuffer(ids(text), "<u4").tolist() + [1] for _ in range(3)] == [whole(text)] * 3
 
 
+def test_marks_behind_a_word_are_learned_once(monkeypatch):
+    """Words that differ in their letters only do not each go through the whole tokenizer."""
+    ids = packing.WordIds(PATH)
+    asked, whole_ids = [], ids._whole
+    monkeypatch.setattr(ids, "_whole", lambda word: asked.append(word) or whole_ids(word))
+    marks = [a + b for a in ".,;:!?#$%&*" for b in ("", "###", ".$$$", "&*", "!?,")]
+    text = " ".join(f"{stem}{m}" for m in marks for stem in ("Straße", "über", "word", "É"))
+    assert np.frombuffer(ids(text), "<u4").tolist() + [1] == whole(text)
+    assert asked == marks
+    odd = "a<|endoftext|>. b's# c#'s d|. e<$ f$<|startoftext|>"
+    assert np.frombuffer(ids(odd), "<u4").tolist() + [1] == whole(odd)
+
+
+def test_words_in_use_are_not_forgotten(monkeypatch):
+    """A word that comes again and again is made of merges once, however many others pass."""
+    monkeypatch.setattr(packing, "REMEMBERED", 20)
+    ids = packing.WordIds(PATH)
+    made, merge = [], ids.merge
+    monkeypatch.setattr(ids, "merge", lambda word: made.append(word) or merge(word))
+    stems = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    for stem in stems:
+        assert np.frombuffer(ids(f"again {stem}"), "<u4").tolist() + [1] == whole(f"again {stem}")
+    assert len(made) == len(stems) + 1 and len(ids.words) + len(ids.older) <= 20
+    assert packing.word_ids(PATH) is packing.word_ids(PATH)
+
+
 def test_best_fit_against_a_plain_scan():
     """The least space that holds the piece; the fullest bin closes when no more may open."""
     rng = random.Random(4)
