@@ -38,7 +38,7 @@ from mirrorfold.llm import simhash
 from mirrorfold.llm.common import CHUNK, fresh, map_texts, text_or_empty
 from mirrorfold.llm.components import components
 from mirrorfold.llm.fuzzy_passages import SEED, WordHashes, _mixed
-from mirrorfold.session import cut_lineage, scratch, small_batches
+from mirrorfold.session import cut_lineage, scratch, shuffles_dropped, small_batches
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -118,7 +118,7 @@ def shingle_counts(docs: DataFrame, words: int = WORDS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(counts[slots])], names=["slot", "n"])
 
     rows = docs.select(text_or_empty().alias("text")).mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    found = rows.toPandas()
+    found = rows.toArrow()
     counts = np.zeros(SLOTS, np.uint32)
     counts[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**32 - 1)
     return counts
@@ -264,9 +264,9 @@ def _enough(similarity: float, with_places: bool = False):
     return fits
 
 
-def links(keyed: DataFrame, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links ``a, b`` whose components are those of all similar pairs, from the rows
-    ``node, key, place, size, common`` of all prefixes. *Action.*"""
+def linked(keyed: DataFrame, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``node, root`` of the nodes of similar pairs: the components of all such pairs, from the rows
+    ``node, key, place, size, common`` of all prefixes. *Action.* Nodes found later are linked to the roots found before."""
     shared = shared_keys(keyed.filter("place >= 0").select("key", "node", "place", "size", "common"))
     rows = prefixes(shared)
     typical = F.struct(F.col("common"), (-F.col("node")).alias("order"), F.col("node").alias("centre"), F.col("size").alias("other_size"))
@@ -274,9 +274,8 @@ def links(keyed: DataFrame, docs: DataFrame, words: int = WORDS, similarity: flo
     pair = [F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")]
     met = shared.join(centres, "key").filter("node <> centre").filter(_enough(similarity))
     checked = plausible(proposed(keyed, similarity).union(met.select(*pair)).distinct(), rows, similarity)
-    out = verified(checked, docs, words, similarity)
+    roots = components(verified(checked, docs, words, similarity))
     for turn in range(STARS + 1):
-        roots = components(out)
         placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         counts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
         main = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1")
@@ -294,10 +293,10 @@ def links(keyed: DataFrame, docs: DataFrame, words: int = WORDS, similarity: flo
         met = met.filter("root <> other").select(*pair).distinct()
         new = plausible(met.join(checked, ["a", "b"], "left_anti"), rows, similarity)
         if not new.isEmpty():
-            out = out.union(verified(new, docs, words, similarity))
+            roots = components(roots.toDF("a", "b").union(verified(new, docs, words, similarity)))
             checked = checked.union(new)
         shared = shared.drop("root", "main")
-    return out
+    return roots
 
 
 def keep_one_of_each_group(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -305,10 +304,10 @@ def keep_one_of_each_group(docs: DataFrame, words: int = WORDS, similarity: floa
     the row with the smallest id stays, of its repeats one. *Action.*"""
     node, key, rank = fresh(docs, "llm_node"), fresh(docs, "llm_key"), fresh(docs, "llm_rank")
     folder = scratch(docs.sparkSession, "near-copies")
-    with small_batches(docs.sparkSession):  # a row holds a text, or two whole sets
+    with shuffles_dropped(docs.sparkSession), small_batches(docs.sparkSession):  # a row holds a text, or two whole sets
         write_keys(docs, folder, words, similarity)
         keyed = docs.sparkSession.read.parquet(folder)
-        found = components(links(keyed, docs, words, similarity))
+        found = linked(keyed, docs, words, similarity)
     nodes = keyed.filter("place < 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     roots = found.withColumnRenamed("node", "at")
     rooted = nodes.join(roots, F.col("node") == F.col("at"), "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")

@@ -144,3 +144,19 @@ def test_batches_are_small_within(spark):
         assert max(r["n"] for r in sizes) == 7
         1 // 0
     assert spark.conf.get(name) == before
+
+
+def test_shuffle_files_go_with_their_step(spark, monkeypatch):
+    """While near copies are sought, shuffle files of an ended step are not kept until the driver collects garbage."""
+    name, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    sought = near_copies.components
+
+    def components(edges):
+        seen.append(spark.conf.get(name, None))
+        return sought(edges)
+
+    before = spark.conf.get(name, None)
+    monkeypatch.setattr(near_copies, "components", components)
+    df = spark.createDataFrame([(i, f"one two three four five {i // 2}") for i in range(6)], "doc_id bigint, text string")
+    assert near_copies.keep_one_of_each_group(df).count() == 3
+    assert seen and set(seen) == {"true"} and spark.conf.get(name, None) == before
